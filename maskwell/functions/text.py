@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 from maskwell.functions import fixed
 
 SEGMENT = "struct<line_number:int,section_id:string,section_type:string,start:int,end:int,text:string>"
-_EDGE = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z"
+#: All characters that count as white space; plain ``trim`` takes only U+0020.
+BLANKS = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
 
 def strip(t: Column) -> Column:
-    return F.regexp_replace(t, _EDGE, "")
+    return F.trim(t, F.lit(BLANKS))
 
 
 def normalize(t: Column) -> Column:
@@ -31,11 +32,11 @@ def is_japanese(t: Column) -> Column:
     return F.coalesce(t, F.lit("")).rlike("[ぁ-んァ-ン一-龯]")
 
 
-def heading(line: Column) -> Column:
-    """Section type of a heading line by the first matching type, else null."""
+def heading(line: Column, lower: Column) -> Column:
+    """Section type of a heading line by the first matching type, else null; ``lower`` is the lower-case line."""
     out = None
     for kind, (ja, en) in fixed.SECTION_HEADINGS.items():
-        found = contains_any(line, ja) | contains_any(F.lower(line), list(dict.fromkeys(w.lower() for w in en)))
+        found = contains_any(line, ja) | contains_any(lower, list(dict.fromkeys(w.lower() for w in en)))
         out = F.when(found, kind) if out is None else out.when(found, kind)
     return out.otherwise(F.lit(None).cast("string"))
 
@@ -46,34 +47,46 @@ def segments(normal: Column) -> Column:
     Lines before the first heading are in ``header`` (``section_0``).
     """
 
-    def step(acc: Column, line: Column) -> Column:
-        body = strip(line)
-        lead = F.length(line) - F.length(F.regexp_replace(line, r"(?U)^[\s\x1c-\x1f]+", ""))
-        kind = heading(body)
-        filled = body != ""
-        number = F.when(filled & kind.isNotNull(), acc["number"] + 1).otherwise(acc["number"])
-        section = F.when(filled, F.coalesce(kind, acc["section"])).otherwise(acc["section"])
-        start = acc["pos"] + lead
+    def step(acc: Column, x: Column) -> Column:
+        number = acc["number"] + F.when(x["kind"].isNull(), 0).otherwise(1)
+        section = F.coalesce(x["kind"], acc["section"])
+        start = acc["pos"] + x["lead"]
         item = F.struct(
             F.size(acc["out"]).alias("line_number"),
             F.concat(F.lit("section_"), number.cast("string")).alias("section_id"),
             section.alias("section_type"),
             start.alias("start"),
-            (start + F.length(body)).alias("end"),
-            body.alias("text"),
+            (start + F.length(x["body"])).alias("end"),
+            x["body"].alias("text"),
         )
-        return F.struct(
-            (acc["pos"] + F.length(line) + 1).alias("pos"),
-            number.alias("number"),
-            section.alias("section"),
-            F.when(filled, F.concat(acc["out"], F.array(item))).otherwise(acc["out"]).alias("out"),
+        pos = acc["pos"] + x["width"]
+        same = F.struct(pos.alias("pos"), acc["number"].alias("number"), acc["section"].alias("section"), acc["out"].alias("out"))
+        return F.when(x["body"] == "", same).otherwise(
+            F.struct(pos.alias("pos"), number.alias("number"), section.alias("section"), F.concat(acc["out"], F.array(item)).alias("out"))
         )
 
+    # each stage binds what the next one uses more than once
+    lines = F.transform(
+        F.split(normal, "\n", -1),
+        lambda x: F.struct(
+            (F.length(x) + 1).alias("width"),
+            (F.length(x) - F.length(F.ltrim(x, F.lit(BLANKS)))).alias("lead"),
+            strip(x).alias("body"),
+        ),
+    )
+    lowered = F.transform(lines, lambda x: F.struct(x.alias("x"), F.lower(x["body"]).alias("lower")))
+    lines = F.transform(
+        lowered,
+        lambda y: F.struct(
+            y["x"]["width"].alias("width"), y["x"]["lead"].alias("lead"), y["x"]["body"].alias("body"),
+            heading(y["x"]["body"], y["lower"]).alias("kind"),
+        ),
+    )
     zero = F.struct(
         F.lit(0).alias("pos"), F.lit(0).alias("number"), F.lit("header").alias("section"),
         F.array().cast(f"array<{SEGMENT}>").alias("out"),
     )
-    return F.aggregate(F.split(normal, "\n", -1), zero, step, lambda acc: acc["out"])
+    return F.aggregate(lines, zero, step, lambda acc: acc["out"])
 
 
 def section_text(segs: Column, kind: str) -> Column:
