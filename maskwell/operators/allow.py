@@ -27,7 +27,7 @@ def drop_allowed(spans: DataFrame, terms: DataFrame, folded: bool = True) -> Dat
     """Span rows whose text is no allowed term (``folded``: lower case, without spaces)."""
     key = allow_key if folded else (lambda c: c)
     keys = terms.select(key(F.col("term")).alias("allowed")).distinct()
-    size = int(keys._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(keys._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     if size <= BROADCAST_BYTES:
         keys = F.broadcast(keys)
     return spans.join(keys, key(F.col("text")) == F.col("allowed"), "left_anti")
