@@ -23,6 +23,10 @@ FIXTURE = [
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    # the rules are CPU-bound: spread inputs of fewer splits than cores; larger ones aren't shuffled
+    cores = spark.sparkContext.defaultParallelism
+    if docs.rdd.getNumPartitions() < cores:
+        docs = docs.repartition(cores)
     extra = spark.createDataFrame([*FIXTURE, (-5, None)], "doc_id long, text string").coalesce(1)
     return docs.unionByName(extra)
 
