@@ -247,7 +247,8 @@ def near_duplicates(
         ).alias("g"),
     )
     blocks = blocks.select("doc_id", F.xxhash64("g.component", "g.low", "g.high").alias("g"))
-    texts = docs.join(blocks, "doc_id").select("g", "doc_id", "text")
+    # a merge join at every size: the blocks grow with the data, so they are never broadcast
+    texts = docs.join(blocks.hint("merge"), "doc_id").select("g", "doc_id", "text")
     parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     grouped = texts.repartition(parts, "g").sortWithinPartitions("g", "doc_id")
     links, confirmed_at = materialize(_confirm(grouped, shingle_words, num, den), "confirmed")
