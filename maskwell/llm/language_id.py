@@ -83,18 +83,26 @@ def train(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Langu
     """Fit on ``labelled``(doc_id, text, lang): of each language, the whole texts of
     the ``per_language`` rows with the smallest hash of doc_id.
 
-    The bound on the sample is a parameter; rank and limit are pushed below the
-    shuffle by Spark's window group limit. Counting runs on the executors; the
-    driver gets one count for each language and bucket.
+    The bound on the sample is a parameter. A histogram of the hash's upper bits
+    gives the range that holds these rows, so that only they and the rest of
+    the last bin are ranked in one place, however common a language is.
+    Counting runs on the executors; the driver gets one count for each language
+    and bucket.
     """
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64(F.col("doc_id"), F.lit(5)), "doc_id"))
-    ids = labelled.where("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "lang", rank.alias("r"))
-    ids = ids.where(F.col("r") <= per_language).select("doc_id", "lang").collect()
-    names = sorted({r.lang for r in ids})
-    if not names:
+    key = F.xxhash64(F.col("doc_id"), F.lit(5))
+    rows = labelled.where("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "lang", key.alias("key"), F.shiftright(key, 48).alias("bin"))
+    before = F.sum("n").over(Window.partitionBy("lang").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1))
+    bins = rows.groupBy("lang", "bin").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(before, F.lit(0)))
+    last = bins.where(F.col("before") < per_language).groupBy("lang").agg(F.max("bin").alias("last")).limit(MOST_LANGUAGES + 1).collect()
+    if len(last) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    if not last:
         return LanguageModel((), np.zeros((0, BUCKETS), np.float32), np.zeros(0))
-    if len(names) > MOST_LANGUAGES:
-        raise ValueError(f"{len(names)} languages; at most {MOST_LANGUAGES} are supported")
+    ranges = labelled.sparkSession.createDataFrame([(r.lang, r.last) for r in last], "lang string, last long")
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("key", "doc_id"))
+    near = rows.join(F.broadcast(ranges), "lang").where("bin <= last").withColumn("r", rank)
+    ids = near.where(F.col("r") <= per_language).select("doc_id", "lang").collect()
+    names = sorted({r.lang for r in ids})
     code = {name: i for i, name in enumerate(names)}
     wanted = labelled.sparkSession.createDataFrame([(r.doc_id, r.lang) for r in ids], "doc_id long, lang string").distinct()
     sample = labelled.join(F.broadcast(wanted), ["doc_id", "lang"], "left_semi")
