@@ -241,11 +241,13 @@ def document_scores(column: pa.Array, model: QualityModel) -> np.ndarray:
     return np.where(empty, model.base, score)
 
 
-def train(labelled: DataFrame, sample: int = SAMPLE) -> QualityModel:
+def train(labelled: DataFrame, sample: int = SAMPLE, texts: DataFrame | None = None) -> QualityModel:
     """Fit on a bounded sample of ``labelled``(doc_id, text, quality): the ``sample``
     documents with the smallest hash of doc_id, whole texts. Features are made
     on the executors; the driver gets numbers for each line of the sample.
-    A doc_id with both labels counts as bad.
+    A doc_id with both labels counts as bad. With ``texts``(doc_id, text) the
+    texts are read from there, so ``labelled`` may lack them and no text is
+    shuffled.
     """
     spark = labelled.sparkSession
     chosen = labelled.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("q"))
@@ -266,7 +268,7 @@ def train(labelled: DataFrame, sample: int = SAMPLE) -> QualityModel:
                 ["doc_id", "q", "own", "size"],
             )
 
-    texts = labelled.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "text", "q")
+    texts = (labelled if texts is None else texts).select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "text", "q")
     rows = texts.mapInArrow(run, "doc_id long, q int, own binary, size binary").collect()
     rows.sort(key=lambda r: (r.doc_id, bytes(r.own)))
     own = np.concatenate([np.frombuffer(r.own, np.float32).reshape(-1, N_OWN) for r in rows] or [np.zeros((0, N_OWN), np.float32)])

@@ -16,7 +16,7 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality").where(crc_mod("doc_id", 5) != 0)
-    model = quality.train(docs.join(labels, "doc_id"))
+    model = quality.train(labels.join(docs.select("doc_id"), "doc_id", "left_semi"), texts=docs)
     scored = quality.score(docs, model)
     return scored.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
 

@@ -493,3 +493,11 @@ def test_extract_edges(spark):
     got = html_text.extract(df).collect()
     assert [r.n_chars for r in got] == [599_999, 0, 1, 1] and got[1].text == ""
     assert html_text.extract(df.where("false")).collect() == []
+
+
+def test_quality_texts_from_another_frame(spark):
+    rows = quality_rows(80, 4)
+    df = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    one = quality.score(df, quality.train(df, 50)).orderBy("doc_id").collect()
+    two = quality.score(df, quality.train(df.drop("text"), 50, texts=df.drop("quality"))).orderBy("doc_id").collect()
+    assert [tuple(r) for r in one] == [tuple(r) for r in two]
