@@ -46,6 +46,22 @@ def normal(lines: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(F.array_join(lines, " ")), "[\\x20\\x09-\\x0D]+", " "))
 
 
+def line_hashes(lines: Column) -> Column:
+    """A hash of each line that isn't blank, in its normal form."""
+    return F.transform(F.filter(F.transform(lines, lambda x: normal(F.array(x))), lambda x: x != ""), lambda x: F.xxhash64(x))
+
+
+def span_key(hashes: Column, start: Column, size: Column) -> Column:
+    """Key of ``size`` consecutive line hashes; no key of a text's md5 looks like it."""
+    return F.concat(size.cast("string"), F.lit(":"), F.hex(F.xxhash64(F.slice(hashes, start, size))))
+
+
+def paragraphs(lines: Column) -> Column:
+    """The normal form of each run of lines between blank ones."""
+    bare = F.transform(lines, lambda x: F.regexp_replace(x, "^[\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+$", ""))
+    return F.transform(F.split(F.array_join(bare, "\n"), "\n{2,}", -1), lambda x: normal(F.array(x)))
+
+
 def _resolve(links: DataFrame) -> DataFrame:
     """(conv_id, turn, reply_to) -> also root_turn and depth, by pointer doubling:
     as many rounds as the logarithm of the longest chain of replies."""
@@ -81,9 +97,15 @@ def link_quotations(messages: DataFrame) -> DataFrame:
 
     A quoted passage is a run of lines of one quote level. Its normalised form
     (see ``normal``) is looked up by hash among the whole own text, the
-    passages and the lines of the messages of its conversation; the original
-    is the earliest message that has it, if that is before the quoting one.
-
+    passages, the paragraphs and the lines of the messages of its conversation.
+    A passage of two or more lines is also looked up among the runs of as many
+    consecutive own lines, anywhere in a message; blank lines don't count. The
+    original is the earliest message that has it, if that is before the
+    quoting one. A re-wrapped quote of part of a text is found only if it is
+    one paragraph or passage.
+
+    Runs of own lines are made only of the lengths that are quoted in the
+    conversation, so a message of n lines gives at most n keys for each.
     Originals are aggregated to one row for each conversation and hash before
     the join, so a sentence that everyone writes, or a conversation with a
     third of all rows, adds no pairs. Only quoting messages go through the
@@ -96,24 +118,40 @@ def link_quotations(messages: DataFrame) -> DataFrame:
     has_quote = F.coalesce(F.col("text").rlike("(?m)^[ \\t]*>"), F.lit(False))
     keyed = messages.where("conv_id IS NOT NULL AND turn IS NOT NULL").select("conv_id", F.col("turn").cast("long").alias("turn"), "text", has_quote.alias("quoting"))
     quoting = with_passages(keyed.where("quoting"), "text", "lines", "runs")
-    quotes = quoting.select("conv_id", "turn", F.inline("runs")).where("level > 0")
-    quotes = quotes.select("conv_id", "turn", "level", "ord", normal(F.col("lines")).alias("norm")).where("norm <> ''")
-    quotes, quotes_at = materialize(quotes.select("conv_id", "turn", "level", "ord", F.md5("norm").alias("hash")), "quotes")
-
-    wanted = quotes.select("conv_id").distinct()
-    units = F.concat(F.array(normal(F.col("own"))), F.col("passages"), F.transform("own", lambda x: normal(F.array(x))))
-    own = keyed.where("text IS NOT NULL").join(wanted, "conv_id", "left_semi")
-    plain = own.where("NOT quoting").select("conv_id", "turn", F.split("text", "\\r?\\n", -1).alias("own"), F.array().cast("array<string>").alias("passages"))
+    # the outer forms of inline and explode: for the others the optimizer adds a filter on
+    # the array's size below, with all steps in one expression, quadratic in the lines
+    quotes = quoting.select("conv_id", "turn", F.inline_outer("runs")).where("level > 0")
+    quotes = quotes.select("conv_id", "turn", "level", "ord", normal(F.col("lines")).alias("norm"), line_hashes(F.col("lines")).alias("hashes")).where("norm <> ''")
+    size = F.size("hashes")
+    span = F.when(size > 1, span_key(F.col("hashes"), F.lit(1), size))
+    quotes = quotes.select("conv_id", "turn", "level", "ord", size.alias("size"), F.array_compact(F.array(F.md5("norm"), span)).alias("keys"))
+    quotes, quotes_at = materialize(quotes.withColumn("quote", F.monotonically_increasing_id()), "quotes")
+
+    wanted = quotes.groupBy("conv_id").agg(F.collect_set(F.when(F.col("size") > 1, F.col("size"))).alias("sizes"))
+    own = keyed.where("text IS NOT NULL").join(wanted, "conv_id")
+    plain = own.where("NOT quoting").select("conv_id", "turn", "sizes", F.split("text", "\\r?\\n", -1).alias("own"))
+    plain = plain.withColumn("passages", paragraphs(F.col("own")))
     mixed = with_passages(own.where("quoting"), "text", "lines", "runs").select(
         "conv_id",
         "turn",
+        "sizes",
         F.transform(F.filter("lines", lambda x: x["level"] == 0), lambda x: x["line"]).alias("own"),
-        F.transform(F.filter("runs", lambda x: x["level"] == 0), lambda x: normal(x["lines"])).alias("passages"),
+        F.flatten(F.transform(F.filter("runs", lambda x: x["level"] == 0), lambda x: F.concat(F.array(normal(x["lines"])), paragraphs(x["lines"])))).alias("passages"),
+    )
+    units = F.concat(F.array(normal(F.col("own"))), F.col("passages"), F.transform("own", lambda x: normal(F.array(x))))
+    texts = plain.unionByName(mixed).select("conv_id", "turn", "sizes", F.array_distinct(units).alias("units"), line_hashes(F.col("own")).alias("hashes"))
+    # a row for the units (size 0) and one for each quoted length that fits
+    fitting = F.concat(F.array(F.lit(0)), F.filter("sizes", lambda n: n <= F.size("hashes")))
+    texts = texts.select("conv_id", "turn", "units", "hashes", F.explode_outer(fitting).alias("size"))
+    starts = F.sequence(F.lit(1), F.size("hashes") - F.col("size") + 1)
+    keys = F.when(F.col("size") == 0, F.transform(F.filter("units", lambda x: x != ""), lambda x: F.md5(x))).otherwise(
+        F.transform(starts, lambda i: span_key(F.col("hashes"), i, F.col("size")))
     )
-    originals = plain.unionByName(mixed).select("conv_id", "turn", F.explode(F.array_distinct(units)).alias("norm")).where("norm <> ''")
-    originals = originals.groupBy("conv_id", F.md5("norm").alias("hash")).agg(F.min("turn").alias("origin"))
+    originals = texts.select("conv_id", "turn", F.explode_outer(keys).alias("key")).groupBy("conv_id", "key").agg(F.min("turn").alias("origin"))
 
-    found = quotes.join(originals, ["conv_id", "hash"]).where("origin < turn")
+    asked = quotes.select("conv_id", "turn", "level", "ord", "quote", F.explode("keys").alias("key"))
+    found = asked.join(originals, ["conv_id", "key"]).where("origin < turn")
+    found = found.groupBy("conv_id", "turn", "level", "ord", "quote").agg(F.min("origin").alias("origin"))
     links = found.groupBy("conv_id", "turn").agg(
         F.min(F.struct("level", "ord", "origin"))["origin"].alias("reply_to"), F.count("*").alias("linked")
     )

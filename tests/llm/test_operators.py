@@ -409,6 +409,47 @@ def test_chat_edges(spark):
     assert chat.link_quotations(df.where("false")).collect() == []
 
 
+PARTS = [
+    (1, 0, "u", "A1\nA2\n\nB1\nB2\nB3"),
+    (1, 1, "u", "B2\nsomething else\nB3\nA1"),
+    (1, 2, "u", "> A1\n> A2\nanswer"),
+    (1, 3, "u", "> b2 \n>  B3\nanswer to an end"),
+    (1, 4, "u", "> A2\n> B1\nover the blank line"),
+    (1, 5, "u", "> A1\n> B1\nnot consecutive"),
+    (1, 6, "u", "> B2\n> B1\nwrong order"),
+    (1, 7, "u", ">> answer\n>> to come\n> A1\n> A2\n\nown one\nown two\nown three"),
+    (1, 8, "u", "> own two\n>\n> own three\nyes"),
+    (1, 9, "u", "> B1 B2\n> B3\nwrapped anew"),
+    (1, 10, "u", "> B1\n> B2\n> B3\n> B4\none line too many"),
+    (2, 0, "u", "> A1\n> A2\nanother conversation"),
+    (3, 0, "u", "> L1\n> L2\nbefore its original"),
+    (3, 1, "u", "L0\nL1\nL2"),
+    (3, 2, "u", "L1\nL2\nL3"),
+    (3, 3, "u", "> L1\n> L2"),
+    (3, 4, "u", "> L1\n> L2\n> L3\n\nx\n> L1\n> L2"),
+]
+
+
+def test_chat_partial_quotes(spark):
+    df = spark.createDataFrame(PARTS, "conv_id long, turn long, role string, text string")
+    got = {(r.conv_id, r.turn): (r.quotes, r.linked, r.reply_to, r.root_turn) for r in chat.link_quotations(df).collect()}
+    none = {k: (q, 0, None, k[1]) for k, q in {(1, 0): 0, (1, 1): 0, (1, 5): 1, (1, 6): 1, (1, 10): 1, (2, 0): 1, (3, 1): 0, (3, 2): 0, (3, 0): 1}.items()}
+    linked = {
+        (1, 2): (1, 1, 0, 0), (1, 3): (1, 1, 0, 0), (1, 4): (1, 1, 0, 0), (1, 7): (2, 1, 0, 0), (1, 8): (1, 1, 7, 0), (1, 9): (1, 1, 0, 0),
+        (3, 3): (1, 1, 1, 1), (3, 4): (2, 2, 2, 2),
+    }
+    assert got == none | linked
+
+
+def test_chat_parts_of_long_texts(spark):
+    lines = [f"line {i % 7} {i // 3}" for i in range(6000)]
+    rows = [(1, 0, "u", "\n".join(lines)), (1, 1, "u", "\n".join(f"> {x}" for x in lines[100:3100])), (1, 2, "u", "> " + "\n> ".join(lines[5990:]))]
+    rows += [(1, 3 + i, "u", "ok\nok\nok") for i in range(3000)] + [(1, 4000 + i, "u", "> ok\n> ok\nfine") for i in range(3000)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r.turn: r.reply_to for r in chat.link_quotations(df).collect()}
+    assert got[1] == got[2] == 0 and all(got[4000 + i] == 3 for i in range(3000))
+
+
 # --- WARC
 
 HTML = [(1, "http://a", "<p>é</p>"), (2, "http://b\r\nX: y", "<p>é</p>"), (3, None, None), (4, "u", ""), (None, "u", "<p>é</p>"), (5, "u", "x" * 100_000), (6, "u", "<p>é</p>"), (6, "v", "<p>é</p>"), (None, "u", "only"), (None, "u", "only")]
