@@ -40,6 +40,8 @@ HINTS = frozenset(
 )
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 WHOLE = frozenset("html body main article".split())
+#: Elements that mark content.
+MARKS = frozenset(("article", "main", "h1"))
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _CUT_TAG = re.compile(r"<[a-zA-Z/!?][^<>]*\Z")
 
@@ -54,33 +56,59 @@ def _dropped(tag: str, attrs: list[tuple[str, str | None]], in_article: bool) ->
             return True
         if name == "role" and value in ROLES:
             return True
-        if name in ("class", "id") and value and not HINTS.isdisjoint(w.lower() for w in _WORDS.findall(value)):
-            return True
     return False
 
 
+def _hinted(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+    """Does class or id have a hint word? That alone doesn't drop an element, see ``_released``."""
+    if tag in WHOLE:
+        return False
+    return any(
+        name in ("class", "id") and value and not HINTS.isdisjoint(w.lower() for w in _WORDS.findall(value)) for name, value in attrs
+    )
+
+
 class _Lines(HTMLParser):
-    """Lines of a page: (text, tags, characters in links, enclosing elements or None where dropped)."""
+    """Lines of a page: (text, tags, characters in links, enclosing elements or None where
+    dropped, enclosing elements with hint words)."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, tuple | None]] = []
-        self.open: list[tuple[str, int, bool]] = []
+        self.lines: list[tuple[str, int, int, tuple | None, tuple]] = []
+        self.open: list[tuple[str, int, bool, bool]] = []
+        self.hinted: tuple[int, ...] = ()
+        #: For article, main and h1: the hinted elements around each one that has text.
+        self.around: dict[str, set[tuple[int, ...]]] = defaultdict(set)
         self.boxes: tuple[int, ...] = ()
         self.kinds: dict[int, str] = {}
-        self.off = self.articles = self.links = self.count = 0
+        self.off = self.articles = self.links = self.count = self.hints = 0
         self.text: list[str] = []
         self.tags = self.linked = 0
 
     def end_line(self) -> None:
         text = " ".join("".join(self.text).split())
         if text:
-            self.lines.append((text, self.tags, self.linked, None if self.off else self.boxes))
+            self.lines.append((text, self.tags, self.linked, None if self.off else self.boxes, self.hinted))
+            if not self.off:
+                under, title = self.hinted, None
+                for tag, _, _, hint in reversed(self.open):
+                    if tag == "h1":
+                        title = len(under)
+                    elif tag in MARKS:
+                        self.around[tag].add(under)
+                        if title is not None:
+                            # what is around the title's article is judged by the article
+                            self.around["h1"].add(self.hinted[len(under) : title])
+                            title = None
+                    if hint:
+                        under = under[:-1]
+                if title is not None:
+                    self.around["h1"].add(self.hinted[:title])
             self.tags = self.linked = 0
         self.text = []
 
     def pop_to(self, i: int) -> None:
-        for tag, box, off in reversed(self.open[i:]):
+        for tag, box, off, hint in reversed(self.open[i:]):
             if tag in BLOCKS:
                 self.end_line()
             self.off -= off
@@ -88,6 +116,8 @@ class _Lines(HTMLParser):
             self.links -= tag == "a"
             if box:
                 self.boxes = self.boxes[:-1]
+            if hint:
+                self.hinted = self.hinted[:-1]
         del self.open[i:]
 
     def close_open(self, names, until=frozenset()) -> None:
@@ -117,7 +147,11 @@ class _Lines(HTMLParser):
             box = self.count
             self.kinds[box] = tag
             self.boxes = (*self.boxes, box)
-        self.open.append((tag, box, off))
+        hint = not off and _hinted(tag, attrs)
+        if hint:
+            self.hints += 1
+            self.hinted = (*self.hinted, self.hints)
+        self.open.append((tag, box, off, hint))
         self.off += off
         self.articles += tag == "article"
         self.links += tag == "a"
@@ -136,13 +170,30 @@ class _Lines(HTMLParser):
             self.linked += len(data)
 
 
-def parse_lines(html: str) -> tuple[list[tuple[str, int, int, tuple | None]], dict[int, str]]:
+def parse_lines(html: str) -> tuple[list[tuple[str, int, int, tuple | None, tuple]], dict[int, str], dict[str, set[tuple[int, ...]]]]:
     parser = _Lines()
     parser.feed(_CUT_TAG.sub("", html))
     parser.close()
     parser.pop_to(0)
     parser.end_line()
-    return parser.lines, parser.kinds
+    return parser.lines, parser.kinds, parser.around
+
+
+def _released(lines: list, high: np.ndarray, around: dict[str, set[tuple[int, ...]]]) -> set[int]:
+    """The elements with hint words that aren't dropped: around an article, main or h1
+    where the page has none outside of such elements, or around DESCEND of the text
+    above the threshold."""
+    out: set[int] = set()
+    for under in around.values():
+        if () not in under:
+            out.update(x for hinted in under for x in hinted)
+    total, held = 0, defaultdict(int)
+    for (text, _, _, boxes, hinted), chosen in zip(lines, high, strict=True):
+        if chosen and boxes is not None:
+            total += len(text)
+            for x in hinted:
+                held[x] += len(text)
+    return out | {x for x, n in held.items() if n >= DESCEND * total}
 
 
 def smooth(values: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
@@ -174,17 +225,20 @@ def main_text(html: str | None, sigma: float = SIGMA) -> str:
     Text-to-tag ratios of all lines are smoothed and split in two clusters; the
     lines above the threshold vote, by length, for the element that holds the
     content: an article or main element where there is one, else the innermost
-    one with at least DESCEND of the votes. All of its lines are kept, but for
+    one with at least DESCEND of the votes. Articles beside the chosen one that
+    have votes are kept with it. All of its lines are kept, but for
     those in dropped elements and, outside of articles, lines that are links.
     """
     if not html:
         return ""
-    lines, kinds = parse_lines(html)
+    lines, kinds, around = parse_lines(html)
     if not lines:
         return ""
-    ratio = np.array([len(text) / max(1, tags) for text, tags, _, _ in lines])
+    ratio = np.array([len(text) / max(1, tags) for text, tags, *_ in lines])
     even = smooth(ratio, sigma)
     high = even >= threshold(even)
+    released = _released(lines, high, around)
+    lines = [(text, tags, linked, boxes if released.issuperset(hinted) else None) for text, tags, linked, boxes, hinted in lines]
     eligible = np.array([boxes is not None for *_, boxes in lines])
     if not eligible.any():
         return ""
@@ -199,20 +253,25 @@ def main_text(html: str | None, sigma: float = SIGMA) -> str:
                 depth[box] = i
                 votes[box] += len(text) if chosen else 0
             total += len(text) if chosen else 0
-    root = None
+    root, parent = None, {}
+    for *_, boxes in lines:
+        parent.update((b, boxes[:i]) for i, b in enumerate(boxes or ()))
+    roots: set[int] = set()
     for wanted in ("article", "main"):
         of_kind = [b for b in votes if kinds[b] == wanted and votes[b]]
         if of_kind:
             root = max(of_kind, key=lambda b: (votes[b], -depth[b], -b))
+            roots = {b for b in of_kind if parent[b] == parent[root]}
             break
     marked = root is not None
     if not marked:
         inside = [b for b in votes if votes[b] >= DESCEND * total]
         root = max(inside, key=lambda b: (depth[b], votes[b], -b), default=None)
+        roots = {root}
     kept = [
         text
         for text, _, linked, boxes in lines
-        if boxes is not None and (root is None or root in boxes) and (marked or linked < LINKED * len(text))
+        if boxes is not None and (root is None or not roots.isdisjoint(boxes)) and (marked or linked < LINKED * len(text))
     ]
     return "\n\n".join(kept)
 

@@ -520,6 +520,22 @@ def test_main_text(html, want):
     assert html_text.main_text(html) == want
 
 
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        ("<div class='no-sidebar'><article><h1>T</h1><p>the text of the page</p></article></div>", "T\n\nthe text of the page"),
+        ("<div class='layout has-sidebar'><div class='sidebar'>links</div><main><p>the text of the page</p></main></div>", "the text of the page"),
+        ("<article><div class='content-header'><h1>T</h1></div><p>the text of the page</p><div class='share'>x</div></article>", "T\n\nthe text of the page"),
+        ("<div class='no-sidebar'><p>" + "the text of the page " * 9 + "</p></div><div class='ad'>buy</div>", ("the text of the page " * 9).strip()),
+        ("<article><p>" + "the text of the page " * 9 + "</p></article><div class='related'><article><h1>R</h1>a teaser</article></div>", ("the text of the page " * 9).strip()),
+        ("<main>" + "".join(f"<article><p>{'words of an article ' * 20}{i}</p></article>" for i in "ab") + "<p>x</p></main>", "\n\n".join('words of an article ' * 20 + i for i in "ab")),
+        ("<article>the text of the page<article class='comment'>the text of a reader</article></article>", "the text of the page\n\nthe text of a reader"),
+    ],
+)
+def test_hints_and_sibling_articles(html, want):
+    assert html_text.main_text(html) == want
+
+
 def test_unmarked_content_is_found_by_density():
     menu = "".join(f"<li><a href=/{i}>item {i}</a></li>" for i in range(15))
     body = "".join(f"<p>{'sentence with many words ' * 10}{i}</p>" for i in range(6)) + "<p>Short.</p>"
