@@ -29,7 +29,18 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_root(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+    """A new path in the application's own part of the shared folder. Hadoop's file
+    system deletes that part when the driver ends, so results that are still
+    lazy may read from it until then."""
+    mine = f"{scratch_root(spark)}/{spark.sparkContext.applicationId}"
+    if getattr(spark.sparkContext, "_scratch_owner", None) != mine:
+        p = spark._jvm.org.apache.hadoop.fs.Path(mine)
+        fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+        # deleteOnExit only takes paths that exist
+        fs.mkdirs(p)
+        fs.deleteOnExit(p)
+        spark.sparkContext._scratch_owner = mine
+    return f"{mine}/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def materialize(df: DataFrame, name: str) -> tuple[DataFrame, str]:
@@ -63,6 +74,3 @@ def free_name(df: DataFrame, base: str) -> str:
         name += "_"
     return name
 
-
-def with_range_partitions(n: int, least: int = 1) -> int:
-    return max(least, n)

@@ -30,11 +30,11 @@ class LanguageModel:
     log_priors: np.ndarray
 
 
-def _pieces(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _pieces(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Code points of lower-cased texts in bounded pieces: (points, starts, row of
-    each start). A text longer than a piece goes on in the next one, from the
-    last characters on, so that each n-gram is seen once."""
-    points, starts, rows, size = [], [], [], 0
+    each start, does the text go on). A text longer than a piece goes on in the
+    next one, from the last characters on, so that each n-gram is seen once."""
+    points, starts, rows, more, size = [], [], [], [], 0
     back = max(ORDERS) - 1
     for row, text in enumerate(texts):
         if not text:
@@ -45,27 +45,26 @@ def _pieces(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, n
             points.append(part)
             starts.append(size)
             rows.append(row)
+            more.append(at + CHARS < len(text) - back)
             size += len(part)
             if size >= CHARS:
-                yield np.concatenate(points), np.array(starts), np.array(rows)
-                points, starts, rows, size = [], [], [], 0
+                yield np.concatenate(points), np.array(starts), np.array(rows), np.array(more)
+                points, starts, rows, more, size = [], [], [], [], 0
     if size:
-        yield np.concatenate(points), np.array(starts), np.array(rows)
+        yield np.concatenate(points), np.array(starts), np.array(rows), np.array(more)
 
 
-def _features(points: np.ndarray, starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _features(points: np.ndarray, starts: np.ndarray, more: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each n-gram order: bucket of the n-gram at every position, and which
-    positions are whole n-grams of one text (a longer text's later pieces begin
-    with the characters that the piece before ended with; the longest order
-    then starts where it stopped, shorter ones skip what was seen)."""
+    positions are whole n-grams of one text. A piece whose text goes on ends with
+    the characters that the next one begins with; n-grams that start there are
+    counted in the next one, for all orders."""
     n = len(points)
     ends = np.append(starts[1:], n)
     back = max(ORDERS) - 1
     for order in ORDERS:
         whole = np.zeros(n + 1, np.int32)
-        # [start, end - back) for pieces that go on; the last characters of a
-        # text only matter to shorter orders, and a text ends with a space.
-        stop = np.maximum(starts, ends - back)
+        stop = np.maximum(starts, ends - np.where(more, back, order - 1))
         np.add.at(whole, starts, 1)
         np.add.at(whole, stop, -1)
         mask = np.cumsum(whole[:-1]) > 0
@@ -85,7 +84,9 @@ def train(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Langu
 
     The bound on the sample is a parameter. A histogram of the hash's upper bits
     gives the range that holds these rows, so that only they and the rest of
-    the last bin are ranked in one place, however common a language is.
+    the last bin are ranked in one place, however common a language is. Where
+    ``lang`` has more than MOST_LANGUAGES values, those with most rows are learned
+    (ties: the first by name), which bounds the model that is broadcast.
     Counting runs on the executors; the driver gets one count for each language
     and bucket.
     """
@@ -93,9 +94,8 @@ def train(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Langu
     rows = labelled.where("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "lang", key.alias("key"), F.shiftright(key, 48).alias("bin"))
     before = F.sum("n").over(Window.partitionBy("lang").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1))
     bins = rows.groupBy("lang", "bin").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(before, F.lit(0)))
-    last = bins.where(F.col("before") < per_language).groupBy("lang").agg(F.max("bin").alias("last")).limit(MOST_LANGUAGES + 1).collect()
-    if len(last) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    last = bins.groupBy("lang").agg(F.max(F.when(F.col("before") < per_language, F.col("bin"))).alias("last"), F.sum("n").alias("n"))
+    last = last.orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()
     if not last:
         return LanguageModel((), np.zeros((0, BUCKETS), np.float32), np.zeros(0))
     ranges = labelled.sparkSession.createDataFrame([(r.lang, r.last) for r in last], "lang string, last long")
@@ -111,10 +111,10 @@ def train(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Langu
         counts: dict[int, np.ndarray] = {}
         for batch in batches:
             langs = batch.column(1).to_pylist()
-            for points, starts, rows in _pieces(batch.column(0).to_pylist()):
+            for points, starts, rows, more in _pieces(batch.column(0).to_pylist()):
                 ends = np.append(starts[1:], len(points))
                 owner = np.repeat([code[langs[r]] for r in rows], ends - starts)
-                for bucket, mask in _features(points, starts):
+                for bucket, mask in _features(points, starts, more):
                     for c in set(owner.tolist() if len(rows) == 1 else [code[langs[r]] for r in rows]):
                         mine = np.bincount(bucket[mask & (owner == c)], minlength=BUCKETS)
                         counts[c] = counts.get(c, 0) + mine
@@ -142,8 +142,8 @@ def score_texts(texts: list[str | None], model: LanguageModel) -> tuple[list[str
     if not m:
         return [UNKNOWN] * n, np.zeros(n)
     total = np.tile(model.log_priors, (n, 1))
-    for points, starts, rows in _pieces(texts):
-        for bucket, mask in _features(points, starts):
+    for points, starts, rows, more in _pieces(texts):
+        for bucket, mask in _features(points, starts, more):
             for c in range(m):
                 np.add.at(total[:, c], rows, np.add.reduceat(model.log_probs[c][bucket] * mask, starts, dtype=np.float64))
     best = total.argmax(axis=1)

@@ -57,9 +57,8 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share=SHARE, most_epochs: int = M
     return rows.select("source", "source_size", target.alias("target"))
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, share=SHARE, most_epochs: int = MOST_EPOCHS, buckets: int = BUCKETS, columns: bool = False) -> DataFrame:
-    """doc_id, size, source_size, target, taken for every row (with ``columns``: all
-    columns of ``docs`` and these five, renamed where they clash).
+def mix(docs: DataFrame, weights=WEIGHTS, share=SHARE, most_epochs: int = MOST_EPOCHS, buckets: int = BUCKETS) -> DataFrame:
+    """doc_id, size, source_size, target, taken for every row.
 
     A source's rows are ordered by a hash key; prefix sums of sizes cut its mix
     at the whole number below its target, after whole epochs where the target
@@ -75,12 +74,18 @@ def mix(docs: DataFrame, weights=WEIGHTS, share=SHARE, most_epochs: int = MOST_E
     Null text: size 0, taken 0. Null source: a source of its own. Null ids hash
     as empty text. Empty table: no rows. All sizes 0: targets 0.
     """
+    return _placed(docs, F.xxhash64("text"), F.lit(None), weights, share, most_epochs, buckets).drop("source", "tie", "tie_more")
+
+
+def _placed(docs: DataFrame, tie: Column, tie_more: Column, weights, share, most_epochs: int, buckets: int) -> DataFrame:
+    """``mix``'s rows with source and the two hashes that order rows tied in key, doc_id and size."""
     narrow = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         "source",
         word_count(F.col("text")).alias("size"),
         random_key(F.col("doc_id")).alias("key"),
-        F.xxhash64("text").alias("tie"),
+        tie.alias("tie"),
+        tie_more.cast("long").alias("tie_more"),
     ).withColumn("bucket", F.floor(F.col("key") / (2**60 / buckets)).cast("int"))
     narrow, _ = materialize(narrow, "sizes")
     parts = narrow.groupBy("source", "bucket").agg(F.sum("size").alias("part"))
@@ -89,7 +94,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share=SHARE, most_epochs: int = MOST_E
     offsets = parts.select("source", "bucket", F.coalesce(F.sum("part").over(running), F.lit(0)).alias("offset"))
     g, o = goals.alias("g"), offsets.alias("o")
     plan = o.join(g, F.col("o.source").eqNullSafe(F.col("g.source"))).select("o.*", "g.source_size", "g.target")
-    inside = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size", "tie").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size", "tie", "tie_more").rowsBetween(Window.unboundedPreceding, -1)
     rows = narrow.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     n, p = rows.alias("n"), plan.alias("p")
     rows = n.join(p, F.col("n.source").eqNullSafe(F.col("p.source")) & (F.col("n.bucket") == F.col("p.bucket"))).select("n.*", "p.offset", "p.source_size", "p.target")
@@ -97,18 +102,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share=SHARE, most_epochs: int = MOST_E
     size = F.greatest(F.col("source_size"), F.lit(1))
     epochs, rest = F.floor(budget / size).cast("long"), budget % size
     cut = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), rest - F.col("offset") - F.col("inside")))
-    out = rows.select("doc_id", "size", "source_size", "target", (epochs * F.col("size") + cut).alias("taken"), "source", "tie")
-    if not columns:
-        return out.drop("source", "tie")
-    names = {c: free_name(docs, c) for c in ("size", "source_size", "target", "taken")}
-    key, tie = free_name(docs, "mix_id"), free_name(docs, "mix_tie")
-    once = out.dropDuplicates(["doc_id", "source", "tie"]).select(
-        F.col("doc_id").alias(key), F.col("source").alias(f"{key}_source"), F.col("tie").alias(tie), *[F.col(c).alias(x) for c, x in names.items()]
-    )
-    return docs.join(
-        once,
-        docs["doc_id"].cast("long").eqNullSafe(F.col(key)) & docs["source"].eqNullSafe(F.col(f"{key}_source")) & (F.xxhash64(docs["text"]) == F.col(tie)),
-    ).drop(key, f"{key}_source", tie)
+    return rows.select("doc_id", "size", "source_size", "target", (epochs * F.col("size") + cut).alias("taken"), "source", "tie", "tie_more")
 
 
 def first_words(text: Column, n: Column) -> Column:
@@ -116,17 +110,29 @@ def first_words(text: Column, n: Column) -> Column:
     return F.array_join(F.slice(F.regexp_extract_all(text, F.lit("[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+"), F.lit(0)), F.lit(1), n.cast("int")), "")
 
 
-def emit_mix(docs: DataFrame, **options) -> DataFrame:
+def emit_mix(docs: DataFrame, weights=WEIGHTS, share=SHARE, most_epochs: int = MOST_EPOCHS, buckets: int = BUCKETS) -> DataFrame:
     """The mix itself, in the columns of ``docs``: a row once for each whole time
     that its words are taken, and the row at its source's cut with the words
-    that are taken of it. Rows of which nothing is taken go. Rows equal in id,
-    source and text are told apart by number, not by place: each is taken as
-    often as the first of them."""
-    rows = mix(docs, columns=True, **options)
-    size, taken = rows.columns[len(docs.columns)], rows.columns[-1]
-    times, part = F.floor(F.col(taken) / F.greatest(F.col(size), F.lit(1))).cast("int"), F.col(taken) % F.greatest(F.col(size), F.lit(1))
-    copies = F.concat(F.array_repeat(F.lit(None).cast("long"), times), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<long>")))
-    part_name = free_name(rows, "part")
-    rows = rows.where(F.col(taken) > 0).withColumn(part_name, F.explode(copies))
-    text = F.when(F.col(part_name).isNull(), F.col("text")).otherwise(first_words(F.col("text"), F.col(part_name)))
+    that are taken of it. Rows of which nothing is taken go.
+
+    Rows equal in all columns are one row here, with the words that all of them
+    are to give: nothing tells them apart, and the mix still meets its targets
+    to the word. They are made one before the shuffle, however many they are.
+    Rows meet their numbers by 128 bits of hash over all columns.
+    """
+    # hashes over the columns that can be hashed (maps can't)
+    plain = [F.col(f.name) for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+    gaps = [c.isNull() for c in plain]
+    one, two = F.xxhash64(*plain, *gaps), F.xxhash64(F.lit(7), *gaps, *plain)
+    sums = _placed(docs, one, two, weights, share, most_epochs, buckets).where("taken > 0")
+    names = [free_name(docs, c) for c in ("mix_one", "mix_two", "mix_size", "mix_taken", "mix_part")]
+    h1, h2, size, taken, part = names
+    sums = sums.groupBy(F.col("tie").alias(h1), F.col("tie_more").alias(h2)).agg(F.max("size").alias(size), F.sum("taken").alias(taken))
+    once = docs.withColumns({h1: one, h2: two}).dropDuplicates([h1, h2])
+    rows = once.join(sums, [h1, h2])
+    times, rest = F.floor(F.col(taken) / F.col(size)).cast("int"), F.col(taken) % F.col(size)
+    copies = F.concat(F.array_repeat(F.lit(None).cast("long"), times), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<long>")))
+    # taken is above 0, so each row has a copy; the outer form adds no filter below
+    rows = rows.withColumn(part, F.explode_outer(copies))
+    text = F.when(F.col(part).isNull(), F.col("text")).otherwise(first_words(F.col("text"), F.col(part)))
     return rows.withColumn("text", text).select(*docs.columns)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from maskwell.llm._shared import drop_path, materialize
+from maskwell.llm._shared import drop_path, free_name, materialize
 from maskwell.llm._text import U64, mix, random_u64, row_slices, shingle_sets, shingles, utf8, word_hashes
 from maskwell.llm.components import connected_components
 
@@ -273,9 +273,12 @@ def near_duplicates(
 
 
 def deduplicate(docs: DataFrame, **options) -> DataFrame:
-    """The documents that stay: one of each class, all columns. Repeated rows of
-    a kept doc_id leave one row; rows without doc_id all stay."""
-    kept = near_duplicates(docs, **options).where("kept").select("doc_id").distinct()
-    named = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi")
-    once = named.dropDuplicates(["doc_id"])
-    return once.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    """The documents that stay: one of each class, all columns. Rows that repeat both
+    doc_id and text leave one row; rows of one doc_id with unlike texts all
+    stay with it. Rows without doc_id stay, one of each text."""
+    kept = near_duplicates(docs, **options).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+    digest = free_name(docs, "text_digest")
+    marked = docs.withColumn(digest, F.md5(F.coalesce(F.col("text"), F.lit(""))))
+    named = marked.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", digest])
+    nameless = marked.where("doc_id IS NULL").dropDuplicates([digest])
+    return named.select(*docs.columns).unionByName(nameless.select(*docs.columns))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from maskwell.llm._text import _FOLDED, PIECE, _hash_spans, row_slices, utf8, word_spans
+from maskwell.llm._text import _FOLDED, PIECE, SPACE, _hash_spans, row_slices, utf8, word_spans
 
 SAMPLE = 4000
 THRESHOLD = 0.3
@@ -46,7 +46,7 @@ class QualityModel:
 
 
 def _cuts(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
-    """Slices of whole rows; a very long row is cut at line ends, else at spaces."""
+    """Slices of whole rows; a very long row is cut behind line ends, else behind spaces."""
     for i, j in row_slices(offsets):
         lo, hi = int(offsets[i]), int(offsets[j])
         if hi - lo <= 2 * PIECE:
@@ -54,42 +54,82 @@ def _cuts(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, n
             continue
         while lo < hi:
             end = min(hi, lo + PIECE)
-            if end < hi:
+            while end < hi:
                 piece = data[lo:end]
                 at = np.flatnonzero(piece == 10)
-                at = at if len(at) else np.flatnonzero(piece == 32)
-                end = lo + int(at[-1]) + 1 if len(at) else end
+                at = at if len(at) else np.flatnonzero(SPACE[piece])
+                if len(at):
+                    end = lo + int(at[-1]) + 1
+                    break
+                end = min(hi, end + PIECE)
             yield data[lo:end], np.array([0, end - lo]), i
             lo = end
 
 
-def _own_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of the non-empty lines: features, bytes, row."""
+def _line_sums(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the non-empty lines: sums (bytes of each class, repeated words, words, bytes),
+    first and last word's hash, row, and whether the line reaches the end of its row."""
     breaks = np.flatnonzero(data == 10)
     starts = np.unique(np.concatenate([offsets[:-1], breaks + 1]))
     starts = starts[starts < len(data)]
-    if not len(starts):
-        return np.zeros((0, N_OWN), np.float32), np.zeros(0, np.int64), np.zeros(0, np.int64)
     row = np.searchsorted(offsets, starts, "right") - 1
     ends = np.minimum(np.append(breaks, len(data))[np.searchsorted(breaks, starts)], offsets[row + 1])
     keep = ends > starts
     starts, ends, row = starts[keep], ends[keep], row[keep]
+    c = len(CLASSES)
+    sums, edge = np.zeros((len(starts), c + 3), np.int64), np.zeros((len(starts), 2), np.uint64)
     if not len(starts):
-        return np.zeros((0, N_OWN), np.float32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    size = ends - starts
-    out = np.empty((len(starts), N_OWN), np.float32)
-    for c in range(len(CLASSES)):
-        out[:, c] = np.add.reduceat(_MEMBER[c][data], starts, dtype=np.int32) / size
+        return sums, edge, row, np.zeros(0, bool)
+    for k in range(c):
+        sums[:, k] = np.add.reduceat(_MEMBER[k][data], starts, dtype=np.int64)
     word_starts, word_ends = word_spans(data, offsets)
     words = _hash_spans(data, word_starts, word_ends, _FOLDED) if len(word_starts) else np.empty(0, np.uint64)
     line = np.maximum(np.searchsorted(starts, word_starts, "right") - 1, 0)
-    n_words = np.bincount(line, minlength=len(starts))
     again = np.flatnonzero((words[1:] == words[:-1]) & (line[1:] == line[:-1])) + 1
-    repeated = np.bincount(line[again], minlength=len(starts))
-    # spread the shares: what matters are the first few hundredths
-    out[:, : len(CLASSES)] = np.sqrt(out[:, : len(CLASSES)]) * 3
+    sums[:, c] = np.bincount(line[again], minlength=len(starts))
+    sums[:, c + 1] = np.bincount(line, minlength=len(starts))
+    sums[:, c + 2] = ends - starts
+    first = np.flatnonzero(np.append(True, line[1:] != line[:-1])) if len(line) else np.zeros(0, np.int64)
+    last = np.append(first[1:], len(line)) - 1 if len(line) else first
+    edge[line[first], 0], edge[line[first], 1] = words[first], words[last]
+    return sums, edge, row, ends == offsets[row + 1]
+
+
+def _joined(parts: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+    """Sums and rows of all pieces' lines; a line cut by a piece's end becomes one again."""
+    c = len(CLASSES)
+    out: list[tuple[np.ndarray, np.ndarray]] = []
+    held = None
+    for sums, edge, row, last in parts:
+        if not len(row):
+            continue
+        if held is not None and held[2] == row[0]:
+            old, old_edge = held[0], held[1]
+            twice = old[c + 1] and sums[0, c + 1] and old_edge[1] == edge[0, 0]
+            sums[0] += old
+            sums[0, c] += bool(twice)
+            if not (sums[0, c + 1] - old[c + 1]):
+                edge[0] = old_edge
+            elif old[c + 1]:
+                edge[0, 0] = old_edge[0]
+            out[-1] = (out[-1][0][:-1], out[-1][1][:-1])
+        out.append((sums, row))
+        held = (sums[-1], edge[-1], row[-1]) if last[-1] else None
+    if not out:
+        return np.zeros((0, c + 3), np.int64), np.zeros(0, np.int64)
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def line_features(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of all non-empty lines of the texts, in order: own features, bytes, row. A line's
+    features come from sums over its bytes, so a long line is one line."""
+    data, offsets = utf8(column)
+    sums, row = _joined([(s, e, r + first, last) for piece, at, first in _cuts(data, offsets) for s, e, r, last in [_line_sums(piece, at)]])
     c = len(CLASSES)
-    out[:, c] = np.sqrt(repeated / np.maximum(n_words, 1)) * 3
+    size, n_words, out = sums[:, c + 2], sums[:, c + 1], np.empty((len(row), N_OWN), np.float32)
+    # spread the shares: what matters are the first few hundredths
+    out[:, :c] = np.sqrt(sums[:, :c] / np.maximum(size, 1)[:, None]) * 3
+    out[:, c] = np.sqrt(sums[:, c] / np.maximum(n_words, 1)) * 3
     out[:, c + 1] = np.log1p(size) / 4
     out[:, c + 2] = np.log1p(n_words) / 4
     out[:, c + 3] = np.minimum(size / np.maximum(n_words, 1), 40) / 8
@@ -97,18 +137,6 @@ def _own_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
     return out, size, row
 
 
-def line_features(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of all non-empty lines of the texts, in order: own features, bytes, row."""
-    data, offsets = utf8(column)
-    parts = []
-    for piece, at, first in _cuts(data, offsets):
-        own, size, row = _own_features(piece, at)
-        parts.append((own, size, row + first))
-    if not parts:
-        return np.zeros((0, N_OWN), np.float32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
-
-
 def with_neighbours(own: np.ndarray, row: np.ndarray) -> np.ndarray:
     """Own features of each line, of the line before and of the one after (zeros at a document's ends)."""
     before, after = np.zeros_like(own), np.zeros_like(own)
