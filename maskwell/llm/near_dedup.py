@@ -3,17 +3,22 @@
 1. One pass over the texts makes, per document, a signature of universal-hash
    minima and its band keys (numpy on Arrow batches).
 2. Documents of equal text share one representative, so copies never multiply.
-3. Band buckets with at least two representatives give star links to the
-   bucket's smallest member; a link whose signatures are plainly far apart is
-   replaced by a link among the bucket's remaining members. The result is a
-   superset of all similar pairs that meet in a band, linear in the bucket.
-4. Components of these candidate links (alternating large-star/small-star)
-   are groups in which every pair is checked on full shingle sets, in blocks
-   of bounded size; a block emits a spanning forest of its confirmed links.
+3. In a band bucket, signatures are compared with the smallest member's; those
+   that agree in ``least_agreement`` places are linked to it. What is left of
+   a bucket (far members) is compared with all of the bucket, signature by
+   signature, in blocks; a block emits a spanning forest. Two members of a
+   bucket whose signatures agree are so always connected.
+4. Components of these links (alternating large-star/small-star) are groups in
+   which pairs are checked on full shingle sets, in blocks of bounded size. In
+   a group above ``BLOCK`` documents all are first checked against ``PIVOTS``
+   of them; what that connects in one class needs no check among itself, and
+   only the rest goes on, in blocks, against the group. A block emits a
+   spanning forest of its confirmed links.
 5. Components of the confirmed links give the classes.
 
-Two documents with similarity at the threshold meet in no band with
-probability below ``MISS`` (1e-7 by default); no pair that meets is left out.
+Two documents with similarity at the threshold share no bucket with
+probability below ``MISS``, and disagree in too many places of the signature
+with probability below ``MISS`` (1e-7 each by default); nothing else is left out.
 """
 
 from __future__ import annotations
@@ -23,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from maskwell.llm._shared import drop_path, free_name, materialize
@@ -32,14 +37,27 @@ from maskwell.llm.components import connected_components
 
 ROWS_PER_BAND = 5
 MISS = 1e-7
-FAR_APART = 0.35
-BLOCK = 512
+#: Documents and shingles of a block that is held in memory, and documents it is checked against in one task.
+BLOCK, BLOCK_SHINGLES, CHUNK = 512, 4_000_000, 8192
+PIVOTS = 64
+#: The same for signatures.
+SIG_BLOCK, SIG_CHUNK = 1024, 65_536
 
 
 def band_count(threshold: float, rows: int = ROWS_PER_BAND, miss: float = MISS) -> int:
     return math.ceil(math.log(miss) / math.log(1 - threshold**rows))
 
 
+def least_agreement(threshold: float, n_hashes: int, miss: float = MISS) -> int:
+    """The number of equal minima that a pair at the threshold falls short of with probability at most ``miss``."""
+    below, k = 0.0, 0
+    while True:
+        below += math.comb(n_hashes, k) * threshold**k * (1 - threshold) ** (n_hashes - k)
+        if below > miss:
+            return k
+        k += 1
+
+
 def signatures(values: np.ndarray, at: np.ndarray, n_hashes: int) -> np.ndarray:
     """Minima of ``n_hashes`` multiply-add hashes for each non-empty run of ``values``."""
     a, b = random_u64(n_hashes, 31) | U64(1), random_u64(n_hashes, 37)
@@ -98,7 +116,7 @@ def sketch(docs: DataFrame, k: int, n_bands: int, rows: int) -> DataFrame:
     return rows_in.mapInArrow(run, "doc_id long, text_hash binary, n_shingles long, keys array<long>, sig binary")
 
 
-def _agreement(pairs: DataFrame, most_apart: float) -> DataFrame:
+def _agreement(pairs: DataFrame, least: int) -> DataFrame:
     """pairs(u, v, sig_u, sig_v) -> u, v, near."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,30 +124,179 @@ def _agreement(pairs: DataFrame, most_apart: float) -> DataFrame:
             if not batch.num_rows:
                 continue
             a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in (2, 3))
-            near = (a == b).mean(axis=1) >= most_apart
+            near = (a == b).sum(axis=1) >= least
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(near)], ["u", "v", "near"])
 
     return pairs.mapInArrow(run, "u long, v long, near boolean")
 
 
-def candidate_links(sketches: DataFrame) -> DataFrame:
-    """Star links (u, v) of the band buckets among representatives."""
-    spark = sketches.sparkSession
-    rows = sketches.where("size(keys) > 0").select(F.col("doc_id").alias("u"), F.explode("keys").alias("key"))
-    buckets = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("u").alias("v")).where("n > 1").select("key", "v")
-    members, members_at = materialize(rows.join(buckets, "key").where("u <> v"), "members")
+def _layout(rows: DataFrame, n: Column, blocks: Column, chunk: int) -> DataFrame:
+    """rows(key, u, far, ...) -> copies with g and base, so that each far row of a key meets
+    each row of it in one group g: far rows are dealt to ``blocks`` blocks of a key, all its
+    ``n`` rows to chunks, and a group is a block (base) with a chunk. Far rows of two blocks
+    meet in the lower one's groups. A row that isn't far has a copy for each block."""
+    block = F.pmod(F.xxhash64("u", F.lit(1)), blocks).cast("int")
+    chunks = F.ceil(n / chunk).cast("int")
+    mine = F.pmod(F.xxhash64("u", F.lit(2)), chunks).cast("int")
+    as_base = F.transform(F.sequence(F.lit(0), chunks - 1), lambda c: F.struct(block.alias("b"), c.alias("c"), F.lit(True).alias("base")))
+    upto = F.when(F.col("far"), block).otherwise(blocks)
+    as_other = F.transform(F.slice(F.sequence(F.lit(0), F.greatest(blocks - 1, F.lit(0)).cast("int")), F.lit(1), upto.cast("int")), lambda b: F.struct(b.alias("b"), mine.alias("c"), F.lit(False).alias("base")))
+    places = F.when(F.col("far"), F.concat(as_base, as_other)).otherwise(as_other)
+    rows = rows.withColumn("place", F.explode_outer(places)).where("place IS NOT NULL")
+    return rows.withColumn("g", F.xxhash64("key", "place.b", "place.c")).withColumn("base", F.col("place.base")).withColumn("first", F.col("place.c") == 0).drop("place")
+
+
+class _Union:
+    """Union-find over a group's nodes; ``join`` says whether the two were apart."""
+
+    def __init__(self) -> None:
+        self.up: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        up = self.up
+        while up.setdefault(x, x) != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        x, y = self.root(x), self.root(y)
+        self.up[max(x, y)] = min(x, y)
+        return x != y
+
+
+def _links(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"u": pa.array([x for x, _ in pairs], pa.int64()), "v": pa.array([y for _, y in pairs], pa.int64())})
+
+
+def _in_groups(grouped: DataFrame, make_group) -> DataFrame:
+    """Sorted (g, base, u, joined, first, data), a group's base rows first -> links (u, v).
+
+    ``make_group`` gives an object with ``add(u, data)`` for base rows, ``close() ->
+    links`` when they are all there and ``meet(u, data) -> base ids`` for each other
+    row. Only the base is held. ``joined`` marks rows known to be connected with each
+    other: one link to any of them is enough for a base row. Links within the base
+    are emitted by a block's first group alone.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, group, union, open_base, emit, known = None, None, None, False, False, None
+
+        def close(out: list[tuple[int, int]]) -> None:
+            for x, y in group.close():
+                if union.join(x, y) and emit:
+                    out.append((x, y))
+
+        for batch in batches:
+            out: list[tuple[int, int]] = []
+            ids, flags = batch.column(2).to_pylist(), [batch.column(c).to_pylist() for c in (0, 1, 3, 4)]
+            for g, base, joined, first, u, data in zip(*flags, ids, batch.column(5), strict=True):
+                if g != last:
+                    if open_base:
+                        close(out)
+                    last, group, union, open_base, emit, known = g, make_group(), _Union(), True, first, None
+                if base:
+                    group.add(u, data)
+                    continue
+                if open_base:
+                    close(out)
+                    open_base = False
+                for x in group.meet(u, data):
+                    if union.join(x, u):
+                        out.append((u, x))
+                    if joined:
+                        known = u if known is None else known
+                        union.join(known, u)
+            if out:
+                yield _links(out)
+        out = []
+        if open_base:
+            close(out)
+        if out:
+            yield _links(out)
+
+    return grouped.mapInArrow(run, "u long, v long")
+
+
+class _Signatures:
+    def __init__(self, least: int) -> None:
+        self.least, self.ids, self.rows, self.matrix = least, [], [], None
+
+    def add(self, u: int, data: pa.Scalar) -> None:
+        self.ids.append(u)
+        self.rows.append(data.as_py())
+
+    def close(self) -> Iterator[tuple[int, int]]:
+        self.matrix = np.frombuffer(b"".join(self.rows), np.uint8).reshape(len(self.rows), -1)
+        for i in range(1, len(self.ids)):
+            near = (self.matrix[:i] == self.matrix[i]).sum(axis=1) >= self.least
+            for j in np.flatnonzero(near).tolist():
+                yield self.ids[i], self.ids[j]
+
+    def meet(self, u: int, data: pa.Scalar) -> list[int]:
+        mine = np.frombuffer(data.as_py(), np.uint8)
+        return [self.ids[j] for j in np.flatnonzero((self.matrix == mine).sum(axis=1) >= self.least).tolist()]
+
+
+class _Sets:
+    def __init__(self, k: int, num: int, den: int) -> None:
+        self.k, self.num, self.den, self.ids, self.sets, self.flat = k, num, den, [], [], None
+
+    def _set(self, data: pa.Scalar) -> np.ndarray:
+        return next(shingle_sets(pa.array([data.as_py()], pa.large_string()), self.k))
+
+    def add(self, u: int, data: pa.Scalar) -> None:
+        self.ids.append(u)
+        self.sets.append(self._set(data))
+
+    def close(self) -> list[tuple[int, int]]:
+        return [(self.ids[a], self.ids[b]) for a, b in _forest(self.sets, self.num, self.den)] if len(self.ids) > 1 else []
+
+    def meet(self, u: int, data: pa.Scalar) -> list[int]:
+        if self.flat is None:
+            sizes = np.array([len(s) for s in self.sets], np.int64)
+            flat = np.concatenate(self.sets)
+            order = np.argsort(flat, kind="stable")
+            self.flat, self.owner, self.sizes = flat[order], np.repeat(np.arange(len(sizes)), sizes)[order], sizes
+        mine = self._set(data)
+        lo, hi = (np.searchsorted(self.flat, mine, side) for side in ("left", "right"))
+        count = hi - lo
+        at = np.repeat(lo, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        inter = np.bincount(self.owner[at], minlength=len(self.sizes))
+        near = (inter > 0) & (self.den * inter >= self.num * (self.sizes + len(mine) - inter))
+        return [self.ids[j] for j in np.flatnonzero(near).tolist()]
+
+
+def _grouped(rows: DataFrame, data: str) -> DataFrame:
+    """Rows of ``_layout`` dealt by group and sorted as ``_in_groups`` takes them."""
+    parts = max(8, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = rows.select("g", "base", "u", "joined", "first", data)
+    return rows.repartition(parts, "g").sortWithinPartitions("g", F.desc("base"), "u")
+
+
+def candidate_links(sketches: DataFrame, least: int) -> DataFrame:
+    """Links (u, v) among representatives that connect all pairs of a band bucket whose
+    signatures agree in at least ``least`` places; linear in the bucket."""
+    rows = sketches.where("size(keys) > 0").select(F.col("doc_id").alias("u"), F.explode_outer("keys").alias("key"))
+    buckets = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("u").alias("v")).where("n > 1")
+    members, members_at = materialize(rows.join(buckets, "key"), "members")
     sigs = sketches.where("size(keys) > 0").groupBy("doc_id").agg(F.min("sig").alias("sig"))
-    pairs = members.select("u", "v").distinct()
+    pairs = members.where("u <> v").select("u", "v").distinct()
     pairs = pairs.join(sigs.select(F.col("doc_id").alias("u"), F.col("sig").alias("sig_u")), "u")
     pairs = pairs.join(sigs.select(F.col("doc_id").alias("v"), F.col("sig").alias("sig_v")), "v")
-    judged, judged_at = materialize(_agreement(pairs.select("u", "v", "sig_u", "sig_v"), FAR_APART), "judged")
-    near = judged.where("near").select("u", "v")
-    far = members.join(judged.where("not near").select("u", "v"), ["u", "v"]).select("u", "key")
-    rest = far.groupBy("key").agg(F.min("u").alias("v"))
-    links = near.unionByName(far.join(rest, "key").where("u <> v").select("u", "v")).distinct()
+    judged, judged_at = materialize(_agreement(pairs.select("u", "v", "sig_u", "sig_v"), least), "judged")
+
+    # buckets of two are settled; in the others far members meet all members
+    crowd = members.where("n > 2").join(judged, ["u", "v"], "left").withColumn("far", F.coalesce(~F.col("near"), F.lit(False)))
+    far_count = crowd.where("far").groupBy("key").agg(F.count("*").alias("n_far"))
+    crowd = crowd.join(far_count, "key").join(sigs.withColumnRenamed("doc_id", "u"), "u")
+    # rows that aren't far hang together by the bucket's smallest member
+    crowd = _layout(crowd.withColumn("joined", ~F.col("far")), F.col("n"), F.ceil(F.col("n_far") / SIG_BLOCK), SIG_CHUNK)
+    far_links = _in_groups(_grouped(crowd, "sig"), lambda: _Signatures(least))
+    links = judged.where("near").select("u", "v").unionByName(far_links).distinct()
     out, _ = materialize(links, "candidates")
-    drop_path(spark, members_at)
-    drop_path(spark, judged_at)
+    drop_path(sketches.sparkSession, members_at)
+    drop_path(sketches.sparkSession, judged_at)
     return out
 
 
@@ -173,33 +340,49 @@ def _forest(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]
     return out
 
 
-def _confirm(grouped: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """Sorted (group, doc_id, text) -> confirmed links (u, v) of each group."""
-
-    def close(ids: list[int], texts: list, out: list) -> None:
-        if len(ids) > 1:
-            sets = list(shingle_sets(pa.array(texts, pa.large_string()), k))
-            out += [(ids[a], ids[b]) for a, b in _forest(sets, num, den)]
+def _confirm(rows: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """rows(key, u, far, joined, text, n_shingles) -> confirmed links of each far row with all rows of its key."""
+    sums = rows.groupBy("key").agg(
+        F.count("*").alias("n"), F.count(F.when(F.col("far"), 1)).alias("n_far"), F.sum(F.when(F.col("far"), F.col("n_shingles"))).alias("weight")
+    )
+    rows = rows.join(sums.where("n_far > 0"), "key")
+    blocks = F.greatest(F.ceil(F.col("n_far") / BLOCK), F.ceil(F.col("weight") / BLOCK_SHINGLES))
+    return _in_groups(_grouped(_layout(rows, F.col("n"), blocks, CHUNK), "text"), lambda: _Sets(k, num, den))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, ids, texts = None, [], []
-        for batch in batches:
-            out: list[tuple[int, int]] = []
-            groups = batch.column(0).to_pylist()
-            for g, i, t in zip(groups, batch.column(1).to_pylist(), batch.column(2), strict=True):
-                if g != last:
-                    close(ids, texts, out)
-                    last, ids, texts = g, [], []
-                ids.append(i)
-                texts.append(t.as_py() or "")
-            if out:
-                yield pa.RecordBatch.from_pydict({"u": pa.array([x for x, _ in out], pa.int64()), "v": pa.array([y for _, y in out], pa.int64())})
-        out = []
-        close(ids, texts, out)
-        if out:
-            yield pa.RecordBatch.from_pydict({"u": pa.array([x for x, _ in out], pa.int64()), "v": pa.array([y for _, y in out], pa.int64())})
 
-    return grouped.mapInArrow(run, "u long, v long")
+def _confirmed_links(docs: DataFrame, groups: DataFrame, sizes: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """All confirmed links that classes need, of docs(doc_id, text) in groups(node, component);
+    sizes(node, n_shingles)."""
+    spark = docs.sparkSession
+    counts = groups.groupBy("component").agg(F.count("*").alias("members"))
+    marked = groups.join(counts, "component").join(sizes, "node")
+    marked = marked.select(F.col("component").alias("key"), F.col("node").alias("doc_id"), "members", "n_shingles")
+    # a merge join at every size: the groups grow with the data, so they are never broadcast
+    texts, texts_at = materialize(docs.join(marked.hint("merge"), "doc_id").withColumnRenamed("doc_id", "u"), "texts")
+    small = texts.where(F.col("members") <= BLOCK).withColumn("far", F.lit(True)).withColumn("joined", F.lit(False))
+    links, links_at = materialize(_confirm(small, k, num, den), "confirmed")
+    done = [(links, links_at)]
+    large = texts.where(F.col("members") > BLOCK)
+    if large.limit(1).count():
+        # pivots: the documents of smallest hash, about PIVOTS of each group
+        chance = F.pmod(F.xxhash64("u", F.lit(3)), F.lit(1 << 40)) < F.lit(float(1 << 40)) * PIVOTS / F.col("members")
+        first = _confirm(large.withColumn("far", chance).withColumn("joined", F.lit(False)), k, num, den)
+        done.append(materialize(first, "pivots"))
+        part = connected_components(done[-1][0]).withColumnRenamed("node", "u")
+        part = large.select("key", "u").distinct().join(part, "u", "left")
+        most = part.where("component IS NOT NULL").groupBy("key", "component").agg(F.count("*").alias("c"))
+        most = most.groupBy("key").agg(F.max(F.struct("c", "component"))["component"].alias("biggest"))
+        rest = part.join(most, "key", "left").select("key", "u", F.coalesce(F.col("component") != F.col("biggest"), F.lit(True)).alias("far"))
+        second = large.join(rest.hint("merge"), ["key", "u"]).withColumn("joined", ~F.col("far"))
+        done.append(materialize(_confirm(second, k, num, den), "rest"))
+    drop_path(spark, texts_at)
+    out = done[0][0]
+    for more, _ in done[1:]:
+        out = out.unionByName(more)
+    links, _ = materialize(out.distinct(), "links")
+    for _, path in done:
+        drop_path(spark, path)
+    return links
 
 
 def near_duplicates(
@@ -228,30 +411,11 @@ def near_duplicates(
     copy_links, links_at = materialize(copy_links, "copy_links")
     others = filled.join(copies, (filled.text_hash == copies.text_hash) & (filled.doc_id != copies.rep), "left_anti")
 
-    candidates = candidate_links(others)
+    candidates = candidate_links(others, least_agreement(num / den, n_bands * rows))
     groups, groups_at = materialize(connected_components(candidates), "groups")
-    sizes = groups.groupBy("component").agg(F.count("*").alias("members"))
-    blocks = groups.join(sizes, "component").withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
-    mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    blocks = blocks.select(
-        F.col("node").alias("doc_id"),
-        F.explode(
-            F.transform(
-                F.sequence(F.lit(0), F.greatest(F.col("blocks") - 2, F.lit(0))),
-                lambda i: F.struct(
-                    F.col("component"),
-                    F.least(mine, F.when(i >= mine, i + 1).otherwise(i)).alias("low"),
-                    F.greatest(mine, F.when((i >= mine) & (F.col("blocks") > 1), i + 1).otherwise(i)).alias("high"),
-                ),
-            )
-        ).alias("g"),
-    )
-    blocks = blocks.select("doc_id", F.xxhash64("g.component", "g.low", "g.high").alias("g"))
-    # a merge join at every size: the blocks grow with the data, so they are never broadcast
-    texts = docs.join(blocks.hint("merge"), "doc_id").select("g", "doc_id", "text")
-    parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    grouped = texts.repartition(parts, "g").sortWithinPartitions("g", "doc_id")
-    links, confirmed_at = materialize(_confirm(grouped, shingle_words, num, den), "confirmed")
+    # rows that repeat a doc_id may differ in text; the larger size counts for the blocks
+    weights = others.groupBy(F.col("doc_id").alias("node")).agg(F.max("n_shingles").alias("n_shingles"))
+    links = _confirmed_links(docs, groups, weights, shingle_words, num, den)
 
     near = connected_components(links)
     # a copy's class is its representative's class
@@ -259,7 +423,7 @@ def near_duplicates(
     classes = near.unionByName(reps.select(F.col("u").alias("node"), F.coalesce("component", "v").alias("component")))
     classes = classes.groupBy("node").agg(F.min("component").alias("component"))
     classes, _ = materialize(classes, "classes")
-    for path in (copies_at, links_at, groups_at, confirmed_at):
+    for path in (copies_at, links_at, groups_at):
         drop_path(spark, path)
 
     out = sketches.select("doc_id", "n_shingles").join(classes.withColumnRenamed("node", "doc_id"), "doc_id", "left")

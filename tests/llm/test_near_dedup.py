@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 
+from maskwell.llm import near_dedup
 from maskwell.llm._text import row_slices, shingles, utf8, word_hashes
 from maskwell.llm.components import connected_components
 from maskwell.llm.near_dedup import _forest, band_count, deduplicate, near_duplicates
@@ -140,3 +141,70 @@ def test_forest_of_large_groups_spans_the_same_components():
 def test_more_bands_for_lower_thresholds():
     assert band_count(0.85) < band_count(0.8)
     assert (1 - 0.85**5) ** band_count(0.85) <= 1e-7
+
+
+def test_large_groups_go_through_blocks_and_pivots(spark, monkeypatch):
+    for name, value in (("BLOCK", 8), ("BLOCK_SHINGLES", 900), ("CHUNK", 16), ("PIVOTS", 3), ("SIG_BLOCK", 3), ("SIG_CHUNK", 8)):
+        monkeypatch.setattr(near_dedup, name, value)
+    rows = list(enumerate(corpus(17, 160)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in near_duplicates(df, 3, 85, 100).collect()), key=str)
+    assert got == brute_force(rows, 3, 85, 100)
+
+
+def test_bucket_links_connect_all_agreeing_pairs(spark):
+    rng = np.random.default_rng(4)
+    bases = rng.integers(0, 256, (5, 40))
+    sigs = [np.where(rng.random(40) < rng.choice([0.02, 0.2, 0.4]), rng.integers(0, 256, 40), bases[rng.integers(5)]).astype(np.uint8) for _ in range(90)]
+    keys = [sorted({int(k) for k in rng.integers(0, 4, 2)}) for _ in sigs]
+    rows = [(i, k, s.tobytes()) for i, (k, s) in enumerate(zip(keys, sigs, strict=True))]
+    df = spark.createDataFrame(rows, "doc_id long, keys array<long>, sig binary")
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for r in near_dedup.candidate_links(df, 28).collect():
+        assert (sigs[r.u] == sigs[r.v]).sum() >= 28
+        parent[find(r.u)] = find(r.v)
+    for a in range(len(rows)):
+        for b in range(a):
+            if set(keys[a]) & set(keys[b]) and (sigs[a] == sigs[b]).sum() >= 28:
+                assert find(a) == find(b)
+
+
+def test_texts_move_a_bounded_number_of_times(spark, monkeypatch):
+    """A template with one class of near copies and unlike documents: copies of rows in
+    the text stage stay below three for each row, however large the group."""
+    rng = random.Random(5)
+    stem = [f"s{i}" for i in range(200)]
+    texts = []
+    for i in range(1500):
+        words = list(stem)
+        for _ in range(3 if i % 50 else 20):
+            words[rng.randrange(200)] = f"x{rng.randrange(10**9)}"
+        texts.append((i, " ".join(words)))
+    moved = []
+    real = near_dedup._grouped
+    monkeypatch.setattr(near_dedup, "_grouped", lambda rows, data: moved.append(rows) or real(rows, data) if data == "text" else real(rows, data))
+    seen = []
+    layout = near_dedup._layout
+    monkeypatch.setattr(near_dedup, "_layout", lambda rows, *a: seen.append((rows.columns, layout(rows, *a).count())) or layout(rows, *a))
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near_duplicates(df, 3, 85, 100).collect()}
+    assert sum(got[i] == got[1] for i in got if i % 50) > 1400
+    assert sum(n for columns, n in seen if "text" in columns) <= 3 * len(texts)
+
+
+def test_signature_cut():
+    cut = near_dedup.least_agreement(0.85, 140)
+    assert 0.6 * 140 < cut < 0.72 * 140
+    assert near_dedup.least_agreement(1.0, 10) == 10
+
+
+def test_rows_of_one_id_or_none(spark):
+    rows = [(1, "a b c d e"), (1, "a b c d e"), (1, "f g h i j"), (None, "a b"), (None, "a b"), (None, None), (None, "c")]
+    out = deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, out), key=str) == sorted([(1, "a b c d e"), (1, "f g h i j"), (None, "a b"), (None, None), (None, "c")], key=str)
