@@ -15,18 +15,23 @@ from pyspark.sql import functions as F
 SIGMA = 1.5
 DESCEND = 0.8
 LINKED = 0.8
+#: Clusters part a page's lines if their means differ by this factor; characters of a line that is a paragraph.
+APART, PARAGRAPH = 3.0, 80
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is never main text.
 DROPPED = frozenset(
-    "script style noscript template head nav footer aside form button select textarea iframe object svg canvas "
+    "script style noscript template head nav footer aside button select textarea iframe object svg canvas "
     "menu dialog audio video map datalist".split()
 )
+#: Elements whose content is main text only where they hold the page's paragraphs.
+DOUBTFUL = frozenset(("form",))
+HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 #: Elements that end the running line at both of their tags.
 BLOCKS = frozenset(
     "html body main article section div header p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd blockquote pre table caption thead tbody "
     "tfoot tr figure figcaption hr address details summary fieldset legend hgroup center".split()
-) | DROPPED
+) | DROPPED | DOUBTFUL
 #: Elements that an open p, li, ... ends at.
 CLOSES_P = BLOCKS - frozenset("script style noscript template iframe object svg canvas button select textarea audio video map".split())
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
@@ -59,9 +64,13 @@ def _dropped(tag: str, attrs: list[tuple[str, str | None]], in_article: bool) ->
     return False
 
 
-def _hinted(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
-    """Does class or id have a hint word? That alone doesn't drop an element, see ``_released``."""
-    if tag in WHOLE:
+def _hinted(tag: str, attrs: list[tuple[str, str | None]], in_article: bool) -> bool:
+    """Is the element doubtful by its tag or by a hint word in class or id? That alone
+    doesn't drop an element, see ``_released``. An article in another one (a reader's
+    comment, say) is judged like any element."""
+    if tag in DOUBTFUL:
+        return True
+    if tag in WHOLE and not (tag == "article" and in_article):
         return False
     return any(
         name in ("class", "id") and value and not HINTS.isdisjoint(w.lower() for w in _WORDS.findall(value)) for name, value in attrs
@@ -80,6 +89,9 @@ class _Lines(HTMLParser):
         #: For article, main and h1: the hinted elements around each one that has text.
         self.around: dict[str, set[tuple[int, ...]]] = defaultdict(set)
         self.boxes: tuple[int, ...] = ()
+        #: Numbers of the hinted elements that are so by their tag, and of lines in headings.
+        self.forms: set[int] = set()
+        self.headings: set[int] = set()
         self.kinds: dict[int, str] = {}
         self.off = self.articles = self.links = self.count = self.hints = 0
         self.text: list[str] = []
@@ -88,6 +100,8 @@ class _Lines(HTMLParser):
     def end_line(self) -> None:
         text = " ".join("".join(self.text).split())
         if text:
+            if any(tag in HEADINGS for tag, *_ in self.open[-3:]):
+                self.headings.add(len(self.lines))
             self.lines.append((text, self.tags, self.linked, None if self.off else self.boxes, self.hinted))
             if not self.off:
                 under, title = self.hinted, None
@@ -147,9 +161,11 @@ class _Lines(HTMLParser):
             box = self.count
             self.kinds[box] = tag
             self.boxes = (*self.boxes, box)
-        hint = not off and _hinted(tag, attrs)
+        hint = not off and _hinted(tag, attrs, self.articles > 0)
         if hint:
             self.hints += 1
+            if tag in DOUBTFUL:
+                self.forms.add(self.hints)
             self.hinted = (*self.hinted, self.hints)
         self.open.append((tag, box, off, hint))
         self.off += off
@@ -170,30 +186,31 @@ class _Lines(HTMLParser):
             self.linked += len(data)
 
 
-def parse_lines(html: str) -> tuple[list[tuple[str, int, int, tuple | None, tuple]], dict[int, str], dict[str, set[tuple[int, ...]]]]:
+def parse_lines(html: str) -> _Lines:
     parser = _Lines()
     parser.feed(_CUT_TAG.sub("", html))
     parser.close()
     parser.pop_to(0)
     parser.end_line()
-    return parser.lines, parser.kinds, parser.around
+    return parser
 
 
-def _released(lines: list, high: np.ndarray, around: dict[str, set[tuple[int, ...]]]) -> set[int]:
-    """The elements with hint words that aren't dropped: around an article, main or h1
-    where the page has none outside of such elements, or around DESCEND of the text
-    above the threshold."""
+def _released(page: _Lines, high: np.ndarray) -> set[int]:
+    """The doubtful elements that aren't dropped: those with hint words around an article,
+    main or h1 where the page has none outside of such elements, and all around DESCEND
+    of the text above the threshold; a form only if that text comes in paragraphs."""
     out: set[int] = set()
-    for under in around.values():
+    for under in page.around.values():
         if () not in under:
-            out.update(x for hinted in under for x in hinted)
-    total, held = 0, defaultdict(int)
-    for (text, _, _, boxes, hinted), chosen in zip(lines, high, strict=True):
+            out.update(x for hinted in under for x in hinted if x not in page.forms)
+    total, held, paragraphs = 0, defaultdict(int), defaultdict(int)
+    for (text, _, _, boxes, hinted), chosen in zip(page.lines, high, strict=True):
         if chosen and boxes is not None:
             total += len(text)
             for x in hinted:
                 held[x] += len(text)
-    return out | {x for x, n in held.items() if n >= DESCEND * total}
+                paragraphs[x] += len(text) if len(text) >= PARAGRAPH else 0
+    return out | {x for x, n in held.items() if n >= DESCEND * total and (x not in page.forms or 2 * paragraphs[x] >= n)}
 
 
 def smooth(values: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
@@ -226,19 +243,25 @@ def main_text(html: str | None, sigma: float = SIGMA) -> str:
     lines above the threshold vote, by length, for the element that holds the
     content: an article or main element where there is one, else the innermost
     one with at least DESCEND of the votes. Articles beside the chosen one that
-    have votes are kept with it. All of its lines are kept, but for
-    those in dropped elements and, outside of articles, lines that are links.
+    have votes are kept with it. Of its lines go those in dropped elements and
+    in doubtful ones (hint words, forms) that don't hold the text above the
+    threshold. Outside of articles, lines that are links go too, and, where the
+    clusters' means differ by APART, so do the lines before the first and behind
+    the last line above the threshold that stand in an element without such a
+    line; headings directly before the first one stay.
     """
     if not html:
         return ""
-    lines, kinds, around = parse_lines(html)
-    if not lines:
+    page = parse_lines(html)
+    if not page.lines:
         return ""
-    ratio = np.array([len(text) / max(1, tags) for text, tags, *_ in lines])
+    kinds = page.kinds
+    ratio = np.array([len(text) / max(1, tags) for text, tags, *_ in page.lines])
     even = smooth(ratio, sigma)
-    high = even >= threshold(even)
-    released = _released(lines, high, around)
-    lines = [(text, tags, linked, boxes if released.issuperset(hinted) else None) for text, tags, linked, boxes, hinted in lines]
+    cut = threshold(even)
+    high = even >= cut
+    released = _released(page, high)
+    lines = [(text, tags, linked, boxes if released.issuperset(hinted) else None) for text, tags, linked, boxes, hinted in page.lines]
     eligible = np.array([boxes is not None for *_, boxes in lines])
     if not eligible.any():
         return ""
@@ -269,11 +292,25 @@ def main_text(html: str | None, sigma: float = SIGMA) -> str:
         root = max(inside, key=lambda b: (depth[b], votes[b], -b), default=None)
         roots = {root}
     kept = [
-        text
-        for text, _, linked, boxes in lines
+        i
+        for i, (text, _, linked, boxes) in enumerate(lines)
         if boxes is not None and (root is None or not roots.isdisjoint(boxes)) and (marked or linked < LINKED * len(text))
     ]
-    return "\n\n".join(kept)
+    if not marked:
+        kept = _region(kept, lines, ratio, even, high, cut, page.headings)
+    return "\n\n".join(lines[i][0] for i in kept)
+
+
+def _region(kept: list[int], lines: list, ratio: np.ndarray, even: np.ndarray, high: np.ndarray, cut: float, headings: set[int]) -> list[int]:
+    """``kept`` without what stands before and behind the content region in elements of its own."""
+    dense = [k for k, i in enumerate(kept) if ratio[i] >= cut]
+    if not dense or high.all() or even[high].mean() < APART * even[~high].mean():
+        return kept
+    held = {box for k in dense for box in lines[kept[k]][3]}
+    first, last = dense[0], dense[-1]
+    while first and kept[first - 1] in headings:
+        first -= 1
+    return [i for k, i in enumerate(kept) if first <= k <= last or held.issuperset(lines[i][3])]
 
 
 def extract(pages: DataFrame) -> DataFrame:

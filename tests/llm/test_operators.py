@@ -529,7 +529,11 @@ def test_main_text(html, want):
         ("<div class='no-sidebar'><p>" + "the text of the page " * 9 + "</p></div><div class='ad'>buy</div>", ("the text of the page " * 9).strip()),
         ("<article><p>" + "the text of the page " * 9 + "</p></article><div class='related'><article><h1>R</h1>a teaser</article></div>", ("the text of the page " * 9).strip()),
         ("<main>" + "".join(f"<article><p>{'words of an article ' * 20}{i}</p></article>" for i in "ab") + "<p>x</p></main>", "\n\n".join('words of an article ' * 20 + i for i in "ab")),
-        ("<article>the text of the page<article class='comment'>the text of a reader</article></article>", "the text of the page\n\nthe text of a reader"),
+        ("<article>the text of the page<article class='comment'>the text of a reader</article></article>", "the text of the page"),
+        ("<form id='aspnetForm'><div><p>" + "the text of the page " * 9 + "</p></div><input></form>", ("the text of the page " * 9).strip()),
+        ("<form><p>Name<p>Password</form><p>Sign in to go on reading</p>", "Sign in to go on reading"),
+        ("<div class='related-menu-none'><article><p>the text of the page</p></article></div>", "the text of the page"),
+        ("<div id='page-no-header'><p>" + "the text of the page " * 9 + "</p><p>more of it</p></div>", "the text of the page " * 8 + "the text of the page\n\nmore of it"),
     ],
 )
 def test_hints_and_sibling_articles(html, want):
@@ -544,6 +548,31 @@ def test_unmarked_content_is_found_by_density():
     assert len(got) == 7 and got[-1] == "Short." and got[0].startswith("sentence")
 
 
+def test_ends_of_the_low_cluster_go_where_nothing_marks_the_content():
+    body = "".join(f"<p>{'sentence with many words ' * 10}{i}</p>" for i in range(6))
+    tail = "".join(f"<div><b><i>Item</i> {i}</b></div>" for i in range(8))
+    html = f"<body><div>Home / About us</div><div>{tail}</div><h1>Title</h1>{body}<p>Short.</p>{body}<p>End.</p><div>{tail}</div><div>© 2024 Us</div></body>"
+    got = html_text.main_text(html).split("\n\n")
+    assert got[0] == "Title" and got[-1] == "End." and len(got) == 15
+
+
+def test_extracted_text_against_a_labelled_set():
+    """Generated pages whose main text is known line by line."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 9)))
+    sentence = lambda n: " ".join(word() for _ in range(n))
+    menu = lambda: "<ul>" + "".join(f"<li><a href='/{word()}'>{word()}</a></li>" for _ in range(rng.randrange(3, 12))) + "</ul>"
+    for n in range(200):
+        paragraphs = [sentence(rng.randrange(12, 90)) for _ in range(rng.randrange(2, 9))]
+        want = [sentence(3), *paragraphs]
+        body = f"<h1>{want[0]}</h1>" + "".join(f"<p>{p}</p>\n" + (f"<div class='{rng.choice(['ad', 'share-bar', 'newsletter'])}'>{sentence(8)}</div>" if rng.random() < 0.2 else "") for p in paragraphs)
+        inner = rng.choice(["<article>{}</article>", "<main>{}</main>", "<main><article>{}</article></main>", "<div class='post'>{}</div>"]).format(body)
+        html = f"<html><head><title>{sentence(4)}</title><script>var x = '<p>{word()}</p>';</script></head><body><nav>{menu()}</nav>"
+        html += f"<div class='{rng.choice(['wrap', 'layout has-sidebar'])}'>{inner}<aside>{menu()}{sentence(20)}</aside></div>"
+        html += f"<div id='comments'><p>{sentence(30)}</p></div><footer>{menu()}{sentence(6)}</footer></body></html>"
+        assert html_text.main_text(html).split("\n\n") == want, (n, html)
+
+
 def test_extract_edges(spark):
     rows = [(1, "u", "<p>" + "w " * 300_000), (None, None, None), (1, "u", "<p>a"), (1, "u", "<p>a")]
     df = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, text string")
