@@ -188,6 +188,107 @@ def test_decontamination(spark):
     assert decontaminate.contamination(df.where("false"), benchmark).collect() == []
 
 
+def test_decontamination_against_brute_force(spark):
+    """Every item laid at every place of every document, word by word."""
+    rng = random.Random(31)
+    vocabulary = [f"w{i}" for i in range(60)]
+    items = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.choice([1, 2, 4, 5, 7, 8, 14, 25, 40])))) for i in range(40)]
+    docs = []
+    for i in range(150):
+        words = [rng.choice(vocabulary) for _ in range(rng.randrange(0, 60))]
+        if i % 2:
+            part = items[rng.randrange(40)][1].split()
+            for _ in range(rng.randrange(0, 4)):
+                part[rng.randrange(len(part))] = "other"
+            at = rng.randrange(len(words) + 1)
+            words[at:at] = part
+        docs.append((i, " ".join(words)))
+
+    def overlaps(item, words):
+        n = len(item)
+        for start in range(-n, len(words)):
+            same = [0 <= start + j < len(words) and words[start + j] == w for j, w in enumerate(item)]
+            if n < 5:
+                if all(same):
+                    return True
+                continue
+            for a in range(0, n):
+                for b in range(a + min(20, n), n + 1):
+                    if sum(same[a:b]) >= 0.8 * (b - a) - 1e-9:
+                        return True
+        return False
+
+    sure, possible = set(), set()
+    for i, text in docs:
+        for j, item in items:
+            if overlaps(item.split(), text.split()):
+                possible.add((i, j))
+                if item in text or any(m in text for m in [item.replace(w, "other", 1) for w in set(item.split())] if len(item.split()) > 6):
+                    sure.add((i, j))
+    got = set()
+    probe = decontaminate.build_probe(items)
+    import pyarrow as pa
+
+    for row, item, _, same, n in decontaminate.find_hits(pa.array([t for _, t in docs]), probe):
+        got.add((row, item))
+        assert n == len(items[item][1].split()) and same <= n
+    # an overlap that shifts by a word put in is found, too, so there may be more than by plain laying over
+    lcs_only = got - possible
+    assert possible <= got | {p for p in possible if p not in sure} and sure <= got
+    assert len(possible - got) <= 0.02 * len(possible) and len(lcs_only) <= 0.05 * len(got)
+
+
+def test_items_with_a_common_stem_and_short_or_unspaced_ones():
+    import time
+
+    import pyarrow as pa
+
+    rng = random.Random(2)
+    stem, word = "which of the following is the best".split(), lambda: f"w{rng.randrange(50_000)}"
+    items = [(i, " ".join(stem + [word() for _ in range(20)])) for i in range(20_000)]
+    probe = decontaminate.build_probe(items)
+    planted = items[77][1].split()
+    planted.insert(12, "extra")
+    docs = [[word() for _ in range(200)] + x + [word() for _ in range(200)] for x in (stem, planted)]
+    start = time.perf_counter()
+    hits = list(decontaminate.find_hits(pa.array([" ".join(d) for d in docs]), probe))
+    assert time.perf_counter() - start < 5
+    assert [(r, i, s) for r, i, _, s, _ in hits] == [(1, 77, 27)]
+    probe = decontaminate.build_probe([(1, "what is love really"), (2, "日本の首都はどこですか"), (3, "a b c d e f")])
+    texts = ["so: what IS love, really?", "what is love", "ええと、日本の首都は何処ですか。", "b a b x d e f", None, ""]
+    assert [(r, i) for r, i, *_ in decontaminate.find_hits(pa.array(texts), probe)] == [(0, 0), (2, 1), (3, 2)]
+
+
+def test_repeated_words_do_not_add_up_to_an_overlap():
+    import pyarrow as pa
+
+    probe = decontaminate.build_probe([(1, " ".join(f"{'abcdefgh'[i % 8]}" for i in range(24)))])
+    text = " ".join("a b c d e x x x x x x".split() * 6)
+    assert list(decontaminate.find_hits(pa.array([text]), probe)) == []
+
+
+def test_pieces_of_long_texts_have_the_same_words(monkeypatch):
+    import pyarrow as pa
+
+    text = pa.array(["ab, cd日本の。 x" * 3000])
+    whole = decontaminate.unit_hashes(*decontaminate.utf8(text))
+    monkeypatch.setattr(decontaminate, "PIECE", 1000)
+    parts = decontaminate.unit_hashes(*decontaminate.utf8(text))
+    assert (whole[0] == parts[0]).all() and whole[1].tolist() == parts[1].tolist()
+
+
+def test_mix_of_equal_rows_meets_the_targets(spark):
+    rows = [(1, "a b c", "en", "s", "x")] * 5 + [(2, "d e", "en", "t", "x"), (3, "f g h i", "en", "s", "y"), (3, "f g h i", "fr", "s", "y")]
+    df = spark.createDataFrame(rows, DOCS)
+    goals = {r.source: int(r.target) for r in mixing.mix(df).join(df.select("doc_id", "source").distinct(), "doc_id").collect()}
+    out = mixing.emit_mix(df)
+    assert out.columns == df.columns
+    taken = {}
+    for r in out.collect():
+        taken[r.source] = taken.get(r.source, 0) + len(r.text.split())
+    assert taken == goals
+
+
 # --- media
 
 
