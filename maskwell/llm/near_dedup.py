@@ -6,14 +6,14 @@
 3. In a band bucket, signatures are compared with the smallest member's; those
    that agree in ``least_agreement`` places are linked to it. What is left of
    a bucket (far members) is compared with all of the bucket, signature by
-   signature, in blocks; a block emits a spanning forest. Two members of a
+   signature, in blocks; a block emits what hangs together. Two members of a
    bucket whose signatures agree are so always connected.
 4. Components of these links (alternating large-star/small-star) are groups in
    which pairs are checked on full shingle sets, in blocks of bounded size. In
    a group above ``BLOCK`` documents all are first checked against ``PIVOTS``
    of them; what that connects in one class needs no check among itself, and
-   only the rest goes on, in blocks, against the group. A block emits a
-   spanning forest of its confirmed links.
+   only the rest goes on, in blocks, against the group. A block emits what its
+   confirmed links connect.
 5. Components of the confirmed links give the classes.
 
 Two documents with similarity at the threshold share no bucket with
@@ -147,7 +147,7 @@ def _layout(rows: DataFrame, n: Column, blocks: Column, chunk: int) -> DataFrame
 
 
 class _Union:
-    """Union-find over a group's nodes; ``join`` says whether the two were apart."""
+    """Union-find over a group's nodes."""
 
     def __init__(self) -> None:
         self.up: dict[int, int] = {}
@@ -159,33 +159,36 @@ class _Union:
             x = up[x]
         return x
 
-    def join(self, x: int, y: int) -> bool:
+    def join(self, x: int, y: int) -> None:
         x, y = self.root(x), self.root(y)
         self.up[max(x, y)] = min(x, y)
-        return x != y
 
-
-def _links(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict({"u": pa.array([x for x, _ in pairs], pa.int64()), "v": pa.array([y for _, y in pairs], pa.int64())})
+    def stars(self) -> list[tuple[int, int]]:
+        """Each node with the smallest one that it is connected with."""
+        return [(x, r) for x in list(self.up) if (r := self.root(x)) != x]
 
 
 def _in_groups(grouped: DataFrame, make_group) -> DataFrame:
-    """Sorted (g, base, u, joined, first, data), a group's base rows first -> links (u, v).
+    """Sorted (g, base, u, joined, first, data), a group's base rows first -> links (u, v)
+    that connect what the group's pairs connect: stars, so that few rounds join them.
 
     ``make_group`` gives an object with ``add(u, data)`` for base rows, ``close() ->
-    links`` when they are all there and ``meet(u, data) -> base ids`` for each other
+    pairs`` when they are all there and ``meet(u, data) -> base ids`` for each other
     row. Only the base is held. ``joined`` marks rows known to be connected with each
-    other: one link to any of them is enough for a base row. Links within the base
-    are emitted by a block's first group alone.
+    other: they count as one node. Pairs within the base are looked for in a block's
+    ``first`` group alone.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, group, union, open_base, emit, known = None, None, None, False, False, None
+        last, group, union, open_base, known = None, None, _Union(), False, None
+        search = False
 
-        def close(out: list[tuple[int, int]]) -> None:
-            for x, y in group.close():
-                if union.join(x, y) and emit:
-                    out.append((x, y))
+        def close() -> None:
+            if search:
+                for x, y in group.close():
+                    union.join(x, y)
+            else:
+                group.ready()
 
         for batch in batches:
             out: list[tuple[int, int]] = []
@@ -193,31 +196,34 @@ def _in_groups(grouped: DataFrame, make_group) -> DataFrame:
             for g, base, joined, first, u, data in zip(*flags, ids, batch.column(5), strict=True):
                 if g != last:
                     if open_base:
-                        close(out)
-                    last, group, union, open_base, emit, known = g, make_group(), _Union(), True, first, None
+                        close()
+                    out += union.stars()
+                    last, group, union, open_base, search, known = g, make_group(), _Union(), True, first, None
                 if base:
                     group.add(u, data)
                     continue
                 if open_base:
-                    close(out)
+                    close()
                     open_base = False
-                for x in group.meet(u, data):
-                    if union.join(x, u):
-                        out.append((u, x))
-                    if joined:
-                        known = u if known is None else known
-                        union.join(known, u)
+                met = group.meet(u, data)
+                if joined and met:
+                    known = u if known is None else known
+                for x in met:
+                    union.join(x, known if joined else u)
             if out:
                 yield _links(out)
-        out = []
         if open_base:
-            close(out)
-        if out:
+            close()
+        if out := union.stars():
             yield _links(out)
 
     return grouped.mapInArrow(run, "u long, v long")
 
 
+def _links(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"u": pa.array([x for x, _ in pairs], pa.int64()), "v": pa.array([y for _, y in pairs], pa.int64())})
+
+
 class _Signatures:
     def __init__(self, least: int) -> None:
         self.least, self.ids, self.rows, self.matrix = least, [], [], None
@@ -226,8 +232,11 @@ class _Signatures:
         self.ids.append(u)
         self.rows.append(data.as_py())
 
-    def close(self) -> Iterator[tuple[int, int]]:
+    def ready(self) -> None:
         self.matrix = np.frombuffer(b"".join(self.rows), np.uint8).reshape(len(self.rows), -1)
+
+    def close(self) -> Iterator[tuple[int, int]]:
+        self.ready()
         for i in range(1, len(self.ids)):
             near = (self.matrix[:i] == self.matrix[i]).sum(axis=1) >= self.least
             for j in np.flatnonzero(near).tolist():
@@ -249,6 +258,9 @@ class _Sets:
         self.ids.append(u)
         self.sets.append(self._set(data))
 
+    def ready(self) -> None:
+        pass
+
     def close(self) -> list[tuple[int, int]]:
         return [(self.ids[a], self.ids[b]) for a, b in _forest(self.sets, self.num, self.den)] if len(self.ids) > 1 else []
 
@@ -275,7 +287,7 @@ def _grouped(rows: DataFrame, data: str) -> DataFrame:
 
 
 def candidate_links(sketches: DataFrame, least: int) -> DataFrame:
-    """Links (u, v) among representatives that connect all pairs of a band bucket whose
+    """Pairs (u, v) of representatives that connect all pairs of a band bucket whose
     signatures agree in at least ``least`` places; linear in the bucket."""
     rows = sketches.where("size(keys) > 0").select(F.col("doc_id").alias("u"), F.explode_outer("keys").alias("key"))
     buckets = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("u").alias("v")).where("n > 1")
@@ -341,7 +353,8 @@ def _forest(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]
 
 
 def _confirm(rows: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """rows(key, u, far, joined, text, n_shingles) -> confirmed links of each far row with all rows of its key."""
+    """rows(key, u, far, joined, text, n_shingles) -> pairs that connect
+    what the confirmed links of far rows with all rows of their key connect."""
     sums = rows.groupBy("key").agg(
         F.count("*").alias("n"), F.count(F.when(F.col("far"), 1)).alias("n_far"), F.sum(F.when(F.col("far"), F.col("n_shingles"))).alias("weight")
     )
@@ -351,7 +364,7 @@ def _confirm(rows: DataFrame, k: int, num: int, den: int) -> DataFrame:
 
 
 def _confirmed_links(docs: DataFrame, groups: DataFrame, sizes: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """All confirmed links that classes need, of docs(doc_id, text) in groups(node, component);
+    """Pairs that connect what all confirmed links connect, of docs(doc_id, text) in groups(node, component);
     sizes(node, n_shingles)."""
     spark = docs.sparkSession
     counts = groups.groupBy("component").agg(F.count("*").alias("members"))
