@@ -9,6 +9,10 @@ DOCUMENT_PATTERNS = [
     ("age_sai_short", "JP_AGE", r"\d{1,3}才", 0.8),
     ("gender", "JP_GENDER", r"(?:男性|女性)", 0.7),
 ]
+#: Strings of which every match of a document pattern has one.
+NEEDED = {
+    "phone_jp": ["-"], "mobile_jp": ["-"], "zip_jp": ["-"], "age_sai": ["歳"], "age_sai_short": ["才"], "gender": ["男性", "女性"],
+}
 CONTEXT_WORDS = {
     "PHONE_NUMBER_JP": ["TEL", "電話", "携帯", "自宅", "tel", "Tel", "電話番号"],
     "JP_ZIP_CODE": ["〒", "郵便番号", "郵便", "zip", "ZIP", "住所"],
@@ -32,6 +36,7 @@ NOT_ADDRESS_SUFFIXES = [
     "株式会社", "会社", "有限会社", "合同会社", "法人", "銀行", "病院", "クリニック", "事務所", "研究所",
     "センター", "協会", "組合", "財団", "社団",
 ]
+NAME_WORDS = ["氏名", "ふりがな", "フリガナ", "名前"]
 NAME_PATTERNS = [
     r"氏名[:\s　]*([一-龯ぁ-んァ-ン]{1,5}[\s　]?[一-龯ぁ-んァ-ン]{1,5})",
     r"ふりがな[:\s　]*([ぁ-ん]{1,10}[\s　]?[ぁ-ん]{1,10})",
@@ -81,8 +86,8 @@ VALID_FORMATS = {
     "EMAIL_ADDRESS": ("email", r"^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}$|^[぀-ゟ゠-ヿ一-鿿\w._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}$"),
     "PHONE_NUMBER_JP": ("phone_jp", r"^0\d{1,4}-?\d{1,4}-?\d{4}$|^\+81-?\d{1,4}-?\d{1,4}-?\d{4}$"),
     "PHONE_NUMBER": ("phone_en", r"^\+1-?\d{3}-?\d{3}-?\d{4}$|^\(\d{3}\)\s?\d{3}-\d{4}$"),
-    "JP_ZIP_CODE": ("zip_jp", r"^〒?\s*\d{3}-\d{4}$"),
-    "US_ZIP_CODE": ("zip_us", r"^\d{5}(-\d{4})?$"),
+    "JP_ZIP_CODE": ("jp_zip", r"^〒?\s*\d{3}-\d{4}$"),
+    "US_ZIP_CODE": ("us_zip", r"^\d{5}(-\d{4})?$"),
 }
 DATE_FORMATS = [r"^(\d{4})-(\d{2})-(\d{2})", r"^(\d{4})年(\d{1,2})月(\d{1,2})日", r"^(\d{4})/(\d{1,2})/(\d{1,2})"]
 DEFAULT_MASK = "****"

@@ -7,11 +7,13 @@ code-point offsets. All forms work inside one row, so no plan here shuffles.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from maskwell.functions import fixed
+from maskwell.functions.arrays import let, scan
 
 SPAN = "struct<entity:string,start:int,end:int,text:string,score:double,source:string>"
 
@@ -28,32 +30,60 @@ def make(entity, start: Column, end: Column, text: Column, score, source) -> Col
     )
 
 
-def find(t: Column, pattern: str, entity, score, source: str, offset: Column | int = 0) -> Column:
+def find(t: Column, pattern: str, entity, score, source: str, offset: Column | int = 0, needs: list[str] | None = None) -> Column:
     """All matches of a pattern that never matches the empty string, as spans.
 
-    Gaps (``split``) and hits (``regexp_extract_all``) alternate, so one fold
+    Gaps (``split``) and hits (``regexp_extract_all``) alternate, so one scan
     over both gives the offsets. ``(?U)`` makes \\d, \\s and \\w Unicode.
+    ``needs`` are strings of which every match has one: texts without them are
+    passed over by a byte search, ahead of any regular expression.
     """
     java = "(?U)" + pattern
     zipped = F.arrays_zip(F.split(t, java, -1), F.regexp_extract_all(t, F.lit(java), F.lit(0)))
     base = offset if isinstance(offset, Column) else F.lit(offset)
 
-    def step(acc: Column, z: Column) -> Column:
-        start = acc["pos"] + F.length(z["0"])
-        end = start + F.length(z["1"])
-        span = make(entity, start, end, z["1"], score, source)
-        return F.when(z["1"].isNull(), acc).otherwise(
-            F.struct(end.alias("pos"), F.concat(acc["out"], F.array(span)).alias("out"))
-        )
+    def step(state: Column, z: Column) -> Column:
+        start = state["end"] + F.length(z["0"])
+        return F.struct(start.alias("start"), (start + F.length(z["1"])).alias("end"), z["1"].alias("text"))
+
+    zero = F.struct(F.lit(0).alias("start"), base.cast("int").alias("end"), F.lit(None).cast("string").alias("text"))
+    # the last gap has no hit behind it
+    hits = F.filter(scan(zipped, zero, step), lambda z: z["text"].isNotNull())
+    found = F.transform(hits, lambda z: make(entity, z["start"], z["end"], z["text"], score, source))
+    # most texts have no match; the tests are cheaper than building both arrays
+    possible = t.rlike(java)
+    if needs:
+        possible = reduce(lambda a, b: a | b, (t.contains(w) for w in needs)) & possible
+    return F.when(possible, found).otherwise(no_spans())
+
+
+#: Characters of a block of text, see ``blocks``.
+BLOCK = 1024
+
+
+def blocks(t: Column) -> Column:
+    """The text cut in blocks of BLOCK characters: a substring of a long text is counted
+    out from its start, a substring of a block isn't."""
+    return F.regexp_extract_all(t, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+
 
-    zero = F.struct(base.cast("int").alias("pos"), no_spans().alias("out"))
-    # most texts have no match; the test is cheaper than building both arrays
-    return F.when(t.rlike(java), F.aggregate(zipped, zero, step, lambda a: a["out"])).otherwise(no_spans())
+def piece(parts: Column, start: Column, size: Column) -> Column:
+    """``size`` characters from the 0-based ``start`` on, of a text given as its ``blocks``."""
+    first = F.floor(start / BLOCK).cast("int")
+    n = F.floor((start + size - 1) / BLOCK).cast("int") - first + 1
+    inside = F.array_join(F.slice(parts, first + 1, F.greatest(n, F.lit(0))), "")
+    return F.when(size > 0, F.substr(inside, start - first * BLOCK + 1, size)).otherwise("")
 
 
-def around(t: Column, start: Column, end: Column, before: int, after: int) -> Column:
+def around(parts: Column, start: Column, end: Column, before: int, after: int) -> Column:
+    """The text ``before`` and ``after`` [start, end), of a text given as its ``blocks``."""
     low = F.greatest(start - before, F.lit(0))
-    return F.substr(t, low + 1, end + after - low)
+    return piece(parts, low, end + after - low)
+
+
+def in_context(t: Column, spans: Column, body: Callable[[Column, Column], Column]) -> Column:
+    """``body(spans, blocks of the text)``; a text without spans isn't cut."""
+    return let(spans, lambda x: F.when(F.size(x) == 0, x).otherwise(let(blocks(t), lambda parts: body(x, parts))))
 
 
 def overlap(a: Column, b: Column) -> Column:
@@ -76,13 +106,38 @@ def by_start(spans: Column) -> Column:
     return _ordered(spans, lambda s, i: [s["start"]])
 
 
+def clusters(spans: Column) -> Column:
+    """The spans in order of start, cut where none reaches over the cut: arrays of spans
+    that overlap with none of another array. Conflicts only arise within one, so each
+    is resolved on its own, and the cost of that is in its size."""
+
+    def cut(ordered: Column) -> Column:
+        reach = scan(
+            ordered,
+            F.struct(F.lit(-1).alias("end"), F.lit(True).alias("fresh")),
+            lambda state, s: F.struct(F.greatest(state["end"], s["end"]).alias("end"), (s["start"] >= state["end"]).alias("fresh")),
+        )
+        heads = F.filter(F.transform(reach, lambda r, i: F.when(r["fresh"], i)), lambda i: i.isNotNull())
+        return let(heads, lambda at: F.transform(at, lambda a, k: F.slice(ordered, a + 1, F.coalesce(F.get(at, k + 1), F.size(ordered)) - a)))
+
+    return let(by_start(spans), cut)
+
+
+def _by_cluster(spans: Column, resolve: Callable[[Column], Column]) -> Column:
+    """``resolve`` for each cluster that has more than one span."""
+    whole = lambda x: F.flatten(F.transform(clusters(x), lambda c: F.when(F.size(c) == 1, c).otherwise(resolve(c))))
+    return let(spans, lambda x: F.when(F.size(x) <= 1, x).otherwise(whole(x)))
+
+
 def deduplicate(spans: Column) -> Column:
     """Greedy by (score down, start): a span that overlaps an accepted one goes."""
-    best = _ordered(spans, lambda s, i: [-s["score"], s["start"]])
-    kept = F.aggregate(
-        best, no_spans(), lambda acc, s: F.when(F.exists(acc, lambda k: overlap(k, s)), acc).otherwise(F.concat(acc, F.array(s)))
-    )
-    return by_start(kept)
+
+    def resolve(group: Column) -> Column:
+        best = _ordered(group, lambda s, i: [-s["score"], s["start"]])
+        step = lambda acc, s: F.when(F.exists(acc, lambda k: overlap(k, s)), acc).otherwise(F.concat(acc, F.array(s)))
+        return by_start(F.aggregate(best, no_spans(), step))
+
+    return _by_cluster(spans, resolve)
 
 
 def priority(entity: Column) -> Column:
@@ -91,7 +146,7 @@ def priority(entity: Column) -> Column:
     return F.when(at > 0, at - 1).otherwise(F.lit(len(fixed.ENTITY_PRIORITY))).cast("int")
 
 
-def merge_candidates(spans: Column) -> Column:
+def merge_candidates(spans: Column, kind: str = SPAN) -> Column:
     """By (start, priority, score down): a span meets the first kept one it overlaps
     and replaces it if of better priority, or of equal priority and higher score."""
 
@@ -103,24 +158,39 @@ def merge_candidates(spans: Column) -> Column:
         swapped = F.concat(F.filter(acc, lambda k, i: i != at - 1), F.array(s))
         return F.when(at == 0, F.concat(acc, F.array(s))).when(wins, swapped).otherwise(acc)
 
-    return by_start(F.aggregate(_ordered(spans, lambda s, i: [s["start"], priority(s["entity"]), -s["score"]]), no_spans(), step))
+    def resolve(group: Column) -> Column:
+        return by_start(F.aggregate(_ordered(group, lambda s, i: [s["start"], priority(s["entity"]), -s["score"]]), F.array().cast(f"array<{kind}>"), step))
+
+    return _by_cluster(spans, resolve)
+
+
+def covered(s: Column, kept: Column) -> Column:
+    """How many positions of ``s`` the union of ``kept`` covers; ``kept`` may overlap among itself."""
+    cut = F.transform(
+        F.filter(kept, lambda k: overlap(k, s)),
+        lambda k: F.struct(F.greatest(k["start"], s["start"]).alias("a"), F.least(k["end"], s["end"]).alias("b")),
+    )
+    zero = F.struct(s["start"].cast("int").alias("to"), F.lit(0).alias("n"))
+    return F.aggregate(
+        F.array_sort(cut),
+        zero,
+        lambda acc, c: F.struct(
+            F.greatest(acc["to"], c["b"]).alias("to"), (acc["n"] + F.greatest(F.lit(0), c["b"] - F.greatest(acc["to"], c["a"]))).alias("n")
+        ),
+        lambda acc: acc["n"],
+    )
 
 
 def merge_results(spans: Column) -> Column:
     """By (score down, length down, start): a span goes if more than half of its own
     positions are covered by accepted ones."""
-    positions = "array<int>"
 
-    def step(acc: Column, s: Column) -> Column:
-        own = F.when(s["end"] > s["start"], F.sequence(s["start"], s["end"] - 1)).otherwise(F.array().cast(positions))
-        covered = F.size(F.array_intersect(own, acc["covered"]))
-        return F.when(covered > (s["end"] - s["start"]) * F.lit(0.5), acc).otherwise(
-            F.struct(F.concat(acc["kept"], F.array(s)).alias("kept"), F.array_union(acc["covered"], own).alias("covered"))
-        )
+    def resolve(group: Column) -> Column:
+        best = _ordered(group, lambda s, i: [-s["score"], s["start"] - s["end"], s["start"]])
+        step = lambda acc, s: F.when(covered(s, acc) > (s["end"] - s["start"]) * F.lit(0.5), acc).otherwise(F.concat(acc, F.array(s)))
+        return by_start(F.aggregate(best, no_spans(), step))
 
-    best = _ordered(spans, lambda s, i: [-s["score"], s["start"] - s["end"], s["start"]])
-    zero = F.struct(no_spans().alias("kept"), F.array().cast(positions).alias("covered"))
-    return by_start(F.aggregate(best, zero, step, lambda a: a["kept"]))
+    return _by_cluster(spans, resolve)
 
 
 def meaningful(spans: Column) -> Column:
@@ -176,11 +246,12 @@ def mask_of(entity: Column, masks: dict[str, str] | None = None) -> Column:
 
 def apply_masks(t: Column, spans: Column, masks: dict[str, str] | None = None) -> Column:
     """``t`` with disjoint spans, sorted by start, replaced by their masks."""
-    zero = F.struct(F.lit(0).alias("pos"), F.array().cast("array<string>").alias("parts"))
 
-    def step(acc: Column, s: Column) -> Column:
-        parts = F.array(F.substr(t, acc["pos"] + 1, s["start"] - acc["pos"]), mask_of(s["entity"], masks))
-        return F.struct(s["end"].alias("pos"), F.concat(acc["parts"], parts).alias("parts"))
+    def replaced(x: Column, parts: Column) -> Column:
+        # a span's part of the output: the text since the span before, and the mask
+        before = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.element_at(x, F.greatest(i, F.lit(1)))["end"])
+        out = F.transform(x, lambda s, i: F.concat(piece(parts, before(i), s["start"] - before(i)), mask_of(s["entity"], masks)))
+        end = F.element_at(x, -1)["end"]
+        return F.concat(F.array_join(out, ""), piece(parts, end, F.length(t) - end))
 
-    done = F.aggregate(spans, zero, step, lambda a: F.concat(F.array_join(a["parts"], ""), F.substr(t, a["pos"] + 1, F.length(t))))
-    return F.when(F.size(spans) == 0, t).otherwise(done)
+    return F.when(F.size(spans) == 0, t).otherwise(let(spans, lambda x: let(blocks(t), lambda parts: replaced(x, parts))))

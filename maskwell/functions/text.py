@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from maskwell.functions import fixed
+from maskwell.functions.arrays import let, scan
 
 SEGMENT = "struct<line_number:int,section_id:string,section_type:string,start:int,end:int,text:string>"
 #: All characters that count as white space; plain ``trim`` takes only U+0020.
@@ -46,25 +47,6 @@ def segments(normal: Column) -> Column:
 
     Lines before the first heading are in ``header`` (``section_0``).
     """
-
-    def step(acc: Column, x: Column) -> Column:
-        number = acc["number"] + F.when(x["kind"].isNull(), 0).otherwise(1)
-        section = F.coalesce(x["kind"], acc["section"])
-        start = acc["pos"] + x["lead"]
-        item = F.struct(
-            F.size(acc["out"]).alias("line_number"),
-            F.concat(F.lit("section_"), number.cast("string")).alias("section_id"),
-            section.alias("section_type"),
-            start.alias("start"),
-            (start + F.length(x["body"])).alias("end"),
-            x["body"].alias("text"),
-        )
-        pos = acc["pos"] + x["width"]
-        same = F.struct(pos.alias("pos"), acc["number"].alias("number"), acc["section"].alias("section"), acc["out"].alias("out"))
-        return F.when(x["body"] == "", same).otherwise(
-            F.struct(pos.alias("pos"), number.alias("number"), section.alias("section"), F.concat(acc["out"], F.array(item)).alias("out"))
-        )
-
     # each stage binds what the next one uses more than once
     lines = F.transform(
         F.split(normal, "\n", -1),
@@ -82,11 +64,33 @@ def segments(normal: Column) -> Column:
             heading(y["x"]["body"], y["lower"]).alias("kind"),
         ),
     )
+
+    def step(state: Column, x: Column) -> Column:
+        return F.struct(
+            state["next"].alias("pos"),
+            (state["next"] + x["width"]).alias("next"),
+            (state["number"] + x["kind"].isNotNull().cast("int")).alias("number"),
+            F.coalesce(x["kind"], state["section"]).alias("section"),
+            x["lead"].alias("lead"),
+            x["body"].alias("body"),
+        )
+
     zero = F.struct(
-        F.lit(0).alias("pos"), F.lit(0).alias("number"), F.lit("header").alias("section"),
-        F.array().cast(f"array<{SEGMENT}>").alias("out"),
+        F.lit(0).alias("pos"), F.lit(0).alias("next"), F.lit(0).alias("number"), F.lit("header").alias("section"),
+        F.lit(0).alias("lead"), F.lit("").alias("body"),
     )
-    return F.aggregate(lines, zero, step, lambda acc: acc["out"])
+    filled = F.filter(scan(lines, zero, step), lambda x: x["body"] != "")
+    return F.transform(
+        filled,
+        lambda x, i: F.struct(
+            i.alias("line_number"),
+            F.concat(F.lit("section_"), x["number"].cast("string")).alias("section_id"),
+            x["section"].alias("section_type"),
+            (x["pos"] + x["lead"]).alias("start"),
+            (x["pos"] + x["lead"] + F.length(x["body"])).alias("end"),
+            x["body"].alias("text"),
+        ),
+    )
 
 
 def section_text(segs: Column, kind: str) -> Column:
@@ -95,10 +99,28 @@ def section_text(segs: Column, kind: str) -> Column:
 
 def reconstruct(segs: Column) -> Column:
     """The segments at their offsets, gaps filled with spaces."""
-    zero = F.struct(F.lit(0).alias("pos"), F.lit("").alias("out"))
-    return F.aggregate(
-        segs,
-        zero,
-        lambda a, s: F.struct(s["end"].alias("pos"), F.concat(a["out"], F.repeat(F.lit(" "), s["start"] - a["pos"]), s["text"]).alias("out")),
-        lambda a: a["out"],
-    )
+
+    def whole(x: Column) -> Column:
+        before = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.element_at(x, F.greatest(i, F.lit(1)))["end"])
+        return F.array_join(F.transform(x, lambda s, i: F.concat(F.repeat(F.lit(" "), s["start"] - before(i)), s["text"])), "")
+
+    return let(segs, whole)
+
+
+# Full-width punctuation and its half-width form, the mark for a line end.
+WIDE_PUNCTUATION, NARROW_PUNCTUATION = "：；？！（）［］｛｝　", ":;?!()[]{} "
+LINE_MARK = "<LB>"
+
+
+def encode_lines(t: Column) -> Column:
+    """Line ends as marks, as a text generator takes its input."""
+    return F.replace(t, F.lit("\n"), F.lit(LINE_MARK))
+
+
+def decode_lines(t: Column) -> Column:
+    return F.replace(t, F.lit(LINE_MARK), F.lit("\n"))
+
+
+def narrow_punctuation(t: Column) -> Column:
+    """Full-width punctuation as half-width, character by character: offsets stay."""
+    return F.translate(t, WIDE_PUNCTUATION, NARROW_PUNCTUATION)

@@ -6,9 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from maskwell.functions import fixed
-from maskwell.functions.spans import apply_masks, find, make, merge_candidates, no_spans, overlap, priority
+from maskwell.functions.arrays import let
+from maskwell.functions.spans import SPAN, apply_masks, clusters, find, make, merge_candidates, no_spans, overlap, priority
 from maskwell.functions.text import contains_any, normalize, segments, strip
 
+#: A line candidate: a span with the section of its line.
+CANDIDATE = SPAN[:-1] + ",section_id:string,section_type:string>"
 VERDICT = "struct<entity:string,start:int,end:int,text:string,score:double,source:string,section:string,verified:double,status:string,reason:string>"
 
 
@@ -34,11 +37,11 @@ def zip_jp(seg: Column) -> Column:
         one, two = _char(t, at - 1), _char(t, at - 2)
         return ~(_digit(one) | (_digit(two) & (one == "-")))
 
-    return F.filter(find(t, fixed.ZIP_JP, "JP_ZIP_CODE", 0.95, "rule:zip_jp_regex", seg["start"]), free)
+    return F.filter(find(t, fixed.ZIP_JP, "JP_ZIP_CODE", 0.95, "rule:jp_zip_regex", seg["start"], ["-"]), free)
 
 
 def zip_us(seg: Column) -> Column:
-    found = find(seg["text"], fixed.ZIP_US, "US_ZIP_CODE", 0.7, "rule:zip_us_regex", seg["start"])
+    found = find(seg["text"], fixed.ZIP_US, "US_ZIP_CODE", 0.7, "rule:us_zip_regex", seg["start"])
     year = lambda s: _ascii_int(F.substr(s["text"], F.lit(1), F.lit(4))).between(1900, 2100)
     return F.when(seg["section_type"].isin("contact", "header"), F.filter(found, lambda s: ~year(s))).otherwise(no_spans())
 
@@ -46,11 +49,11 @@ def zip_us(seg: Column) -> Column:
 def dates(seg: Column) -> Column:
     birth = contains_any(F.lower(seg["text"]), fixed.BIRTH_LINE_WORDS)
     entity, score = F.when(birth, "DATE_OF_BIRTH_JP").otherwise("DATE"), F.when(birth, 0.9).otherwise(0.5)
-    return F.concat(*[find(seg["text"], p, entity, score, "rule:date_regex", seg["start"]) for p in fixed.DATES])
+    return F.concat(*[find(seg["text"], p, entity, score, "rule:date_regex", seg["start"], [x]) for p, x in zip(fixed.DATES, "-年/", strict=True)])
 
 
 def ages(seg: Column) -> Column:
-    found = find(seg["text"], fixed.AGE, "JP_AGE", 0.85, "rule:age_regex", seg["start"])
+    found = find(seg["text"], fixed.AGE, "JP_AGE", 0.85, "rule:age_regex", seg["start"], ["歳"])
     return F.filter(found, lambda s: _ascii_int(F.regexp_extract(s["text"], r"(?U)(\d+)", 1)).between(0, 120))
 
 
@@ -64,7 +67,7 @@ def addresses(seg: Column) -> Column:
         body = F.regexp_extract(rest, "(?s)^(.*?)(?:" + "|".join(fixed.ADDRESS_ENDS) + r"|\z)", 1)
         body = strip(body)
         start = seg["start"] + at - 1
-        span = make("JP_ADDRESS", start, start + F.length(body), body, 0.75, "rule:address_prefecture")
+        span = make("JP_ADDRESS", start, start + F.length(body), body, 0.75, "rule:jp_address_prefix")
         return F.when((at > 0) & (F.length(body) > F.length(name) + 2), span)
 
     names = F.array(*[F.lit(p) for p in fixed.PREFECTURES])
@@ -72,34 +75,48 @@ def addresses(seg: Column) -> Column:
 
 
 def line_candidates(seg: Column) -> Column:
+    """All rules on one segment; each candidate carries the segment's section."""
     t, at = seg["text"], seg["start"]
-    return F.concat(
-        find(t, fixed.EMAIL, "EMAIL_ADDRESS", 0.95, "rule:email_regex", at),
-        *[find(t, p, "PHONE_NUMBER_JP", 0.9, "rule:phone_jp_regex", at) for p in fixed.PHONE_JP],
-        *[find(t, p, "PHONE_NUMBER", 0.9, "rule:phone_en_regex", at) for p in fixed.PHONE_EN],
+    spans = F.concat(
+        find(t, fixed.EMAIL, "EMAIL_ADDRESS", 0.95, "rule:email_regex", at, ["@"]),
+        *[find(t, p, "PHONE_NUMBER_JP", 0.9, "rule:phone_jp_regex", at, [x]) for p, x in zip(fixed.PHONE_JP, ["-", "0", "+81"], strict=True)],
+        *[find(t, p, "PHONE_NUMBER", 0.9, "rule:phone_en_regex", at, [x]) for p, x in zip(fixed.PHONE_EN, ["+1", "("], strict=True)],
         zip_jp(seg),
         zip_us(seg),
         dates(seg),
         ages(seg),
-        find(t, fixed.GENDER, "JP_GENDER", 0.8, "rule:gender_regex", at),
+        find(t, fixed.GENDER, "JP_GENDER", 0.8, "rule:gender_regex", at, ["男", "女"]),
         addresses(seg),
     )
+    return F.transform(spans, lambda s: in_section(s, seg["section_id"], seg["section_type"]))
+
+
+def in_section(s: Column, section_id: Column, section_type: Column) -> Column:
+    return F.struct(*[s[c].alias(c) for c in ("entity", "start", "end", "text", "score", "source")], section_id.alias("section_id"), section_type.alias("section_type"))
 
 
 #: Every rule's match has one of these, so other lines need no rule.
-_POSSIBLE = r"(?U)[@\d男女]|県|府|東京都|北海道"
+_POSSIBLE = r"[@\p{Nd}男女県府]|東京都|北海道"
+
 
+def extract(docs: DataFrame, text: str = "text", ner: str | None = None) -> DataFrame:
+    """``docs`` with normalised ``text``, ``segments`` and merged ``candidates``; null text is empty.
 
-def extract(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with normalised ``text``, ``segments`` and merged ``candidates``; null text is empty."""
+    ``ner`` names a column of spans that a model found in the reconstructed text,
+    which has the normalised text's offsets; they take the section at their start.
+    """
     docs = docs.withColumn(text, normalize(F.col(text))).withColumn("segments", segments(F.col(text)))
     docs = docs.withColumn("candidates", F.flatten(F.transform(F.filter("segments", lambda g: g["text"].rlike(_POSSIBLE)), line_candidates)))
-    return docs.withColumn("candidates", merge_candidates(F.col("candidates")))
+    if ner is not None:
+        located = F.transform(ner, lambda s: let(segment_at(F.col("segments"), s["start"]), lambda g: in_section(
+            s, F.coalesce(g["section_id"], F.lit("unknown")), F.coalesce(g["section_type"], F.lit("unknown")))))
+        docs = docs.withColumn("candidates", F.concat("candidates", F.coalesce(located, F.array().cast(f"array<{CANDIDATE}>"))))
+    return docs.withColumn("candidates", merge_candidates(F.col("candidates"), CANDIDATE))
 
 
-def section_at(segs: Column, position: Column) -> Column:
-    found = F.filter(segs, lambda g: (g["start"] <= position) & (position < g["end"]))
-    return F.coalesce(F.get(found, F.lit(0))["section_type"], F.lit("unknown"))
+def segment_at(segs: Column, position: Column) -> Column:
+    """The segment that holds a position, null if none does."""
+    return F.get(F.filter(segs, lambda g: (g["start"] <= position) & (position < g["end"])), F.lit(0))
 
 
 def valid_date(t: Column) -> Column:
@@ -120,9 +137,11 @@ def verdict(s: Column, section: Column, allowed: Column | None = None) -> Column
     policy = F.when(shift < 0, F.concat(F.lit("section_penalty:"), section)).when(shift > 0, F.concat(F.lit("section_boost:"), section))
 
     body, name, ok = strip(s["text"]), F.lit(None).cast("string"), F.lit(True)
+    # phone numbers are judged without the spaces inside
+    shapes = {"PHONE_NUMBER_JP": F.translate(body, " 　", ""), "PHONE_NUMBER": F.translate(body, " ", "")}
     for entity, (label, pattern) in fixed.VALID_FORMATS.items():
         mine = s["entity"] == entity
-        name, ok = F.when(mine, label).otherwise(name), F.when(mine, body.rlike("(?U)" + pattern)).otherwise(ok)
+        name, ok = F.when(mine, label).otherwise(name), F.when(mine, shapes.get(entity, body).rlike("(?U)" + pattern)).otherwise(ok)
     dated = s["entity"].isin("DATE_OF_BIRTH_JP", "DATE")
     name, ok = F.when(dated, "date").otherwise(name), F.when(dated, valid_date(body)).otherwise(ok)
     shape = F.when(name.isNotNull(), F.concat(F.when(ok, "format_valid:").otherwise("format_invalid:"), name))
@@ -157,11 +176,15 @@ def resolve_collisions(verdicts: Column) -> Column:
             .otherwise(F.struct(acc["kept"].alias("kept"), F.concat(acc["lost"], F.array(lost(v))).alias("lost")))
         )
 
-    active = F.transform(F.array_sort(F.transform(F.filter(verdicts, lambda v: v["status"] != "exclude"),
-        lambda v, i: F.struct(v["start"].alias("k"), i.alias("ord"), v.alias("v")))), lambda x: x["v"])
-    zero = F.struct(nothing.alias("kept"), nothing.alias("lost"))
-    inactive = F.filter(verdicts, lambda v: v["status"] == "exclude")
-    return F.aggregate(active, zero, step, lambda a: F.concat(a["kept"], inactive, a["lost"]))
+    def resolved(all_of: Column) -> Column:
+        active = clusters(F.filter(all_of, lambda v: v["status"] != "exclude"))
+        zero = F.struct(nothing.alias("kept"), nothing.alias("lost"))
+        # spans of different clusters don't meet, so each is folded on its own, in order
+        folded = F.transform(active, lambda c: F.when(F.size(c) == 1, F.struct(c.alias("kept"), nothing.alias("lost"))).otherwise(F.aggregate(c, zero, step)))
+        inactive = F.filter(all_of, lambda v: v["status"] == "exclude")
+        return let(folded, lambda x: F.concat(F.flatten(F.transform(x, lambda f: f["kept"])), inactive, F.flatten(F.transform(x, lambda f: f["lost"]))))
+
+    return let(verdicts, lambda x: F.when(F.exists(x, lambda v: v["status"] != "exclude"), resolved(x)).otherwise(x))
 
 
 def allow_key(t: Column) -> Column:
@@ -175,15 +198,35 @@ def verify(found: DataFrame, allow_terms: list[str] | None = None) -> DataFrame:
 
     def one(s: Column) -> Column:
         listed = allow_key(s["text"]).isin(keys) if keys else None
-        return verdict(s, section_at(F.col("segments"), s["start"]), listed)
+        return verdict(s, s["section_type"], listed)
 
     found = found.withColumn("verdicts", F.transform("candidates", one))
     return found.withColumn("verdicts", resolve_collisions(F.col("verdicts")))
 
 
+def explode_verdicts(checked: DataFrame, *keys: str) -> DataFrame:
+    """A row for each verdict, in the outer form (see ``recognize.explode_spans``)."""
+    return checked.select(*keys, F.explode_outer("verdicts").alias("v")).where("v IS NOT NULL").select(*keys, "v.*")
+
+
+def by_status(checked: DataFrame, *keys: str, include_review: bool = False) -> DataFrame:
+    """Rows of the verdicts to mask (with review ones if asked), the score being the verified one."""
+    wanted = ["mask", "review"] if include_review else ["mask"]
+    rows = explode_verdicts(checked, *keys).where(F.col("status").isin(wanted))
+    return rows.select(*keys, "entity", "start", "end", "text", F.col("verified").alias("score"), "source")
+
+
+def flat_detections(checked: DataFrame, *keys: str) -> DataFrame:
+    """Rows of the verdicts that aren't excluded, with both scores, section and reason."""
+    rows = explode_verdicts(checked, *keys).where("status <> 'exclude'")
+    return rows.select(*keys, "entity", "text", "start", "end", "score", F.col("verified").alias("verified_score"), "source", "section", "status", "reason")
+
+
 def mask_verified(checked: DataFrame, text: str = "text", include_review: bool = False) -> DataFrame:
     """``verify``'s rows with ``masked``."""
     wanted = ["mask", "review"] if include_review else ["mask"]
     kept = F.filter("verdicts", lambda v: v["status"].isin(wanted))
     checked = checked.withColumn("kept", F.array_sort(F.transform(kept, lambda v: F.struct(v["start"], v["end"], v["entity"]))))
-    return checked.withColumn("masked", apply_masks(F.col(text), F.col("kept"))).drop("kept")
+    # kept spans may still overlap where a better one replaced another: the later one goes
+    apart = F.filter("kept", lambda v, i: (i == 0) | (v["start"] >= F.coalesce(F.array_max(F.transform(F.slice("kept", F.lit(1), i), lambda k: k["end"])), F.lit(0))))
+    return checked.withColumn("masked", apply_masks(F.col(text), apart)).drop("kept")

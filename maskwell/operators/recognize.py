@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from maskwell.functions import fixed
-from maskwell.functions.spans import apply_masks, around, deduplicate, find, make, meaningful, with_score
+from maskwell.functions.spans import apply_masks, around, deduplicate, find, in_context, make, meaningful, with_score
 from maskwell.functions.text import contains_any, normalize
 
 #: Our own rule for context words: one within this many characters before the span lifts its score.
@@ -18,61 +18,62 @@ DEFAULT_ENTITIES = [
 
 def pattern_spans(t: Column, rule: str) -> Column:
     name, entity, pattern, score = next(r for r in fixed.DOCUMENT_PATTERNS if r[0] == rule)
-    return find(t, pattern, entity, score, f"rule:{name}")
+    return find(t, pattern, entity, score, f"rule:{name}", needs=fixed.NEEDED[name])
 
 
 def lifted(t: Column, spans: Column, entity: str) -> Column:
     words = fixed.CONTEXT_WORDS[entity]
-    return F.transform(
-        spans,
-        lambda s: with_score(
-            s,
-            F.when(
-                contains_any(around(t, s["start"], s["start"], CONTEXT_BEFORE, 0), words),
-                F.least(F.lit(1.0), s["score"] + CONTEXT_LIFT),
-            ).otherwise(s["score"]),
-        ),
-    )
+
+    def scored(x: Column, parts: Column) -> Column:
+        near = lambda s: contains_any(around(parts, s["start"], s["start"], CONTEXT_BEFORE, 0), words)
+        return F.transform(x, lambda s: with_score(s, F.when(near(s), F.least(F.lit(1.0), s["score"] + CONTEXT_LIFT)).otherwise(s["score"])))
+
+    return in_context(t, spans, scored)
 
 
 def birth_dates(t: Column) -> Column:
     """Dates with a birth word within 50 characters; a career word within 30 drops
     them unless a birth word stands in the 20 characters before."""
-    found = F.concat(*[find(t, p, "DATE_OF_BIRTH_JP", 1.0, "rule:birth_date") for p in fixed.BIRTH_DATE_PATTERNS])
+    # a text without a birth word has none
+    found = F.concat(*[find(t, p, "DATE_OF_BIRTH_JP", 1.0, "rule:birth_date", needs=fixed.BIRTH_WORDS) for p in fixed.BIRTH_DATE_PATTERNS])
 
-    def is_birth(s: Column) -> Column:
-        near = contains_any(around(t, s["start"], s["end"], 50, 50), fixed.BIRTH_WORDS)
-        just_before = contains_any(around(t, s["start"], s["start"], 20, 0), fixed.BIRTH_WORDS)
-        career = contains_any(around(t, s["start"], s["end"], 30, 30), fixed.CAREER_WORDS)
-        return near & (just_before | ~career)
+    def kept(x: Column, parts: Column) -> Column:
+        def is_birth(s: Column) -> Column:
+            near = contains_any(around(parts, s["start"], s["end"], 50, 50), fixed.BIRTH_WORDS)
+            just_before = contains_any(around(parts, s["start"], s["start"], 20, 0), fixed.BIRTH_WORDS)
+            career = contains_any(around(parts, s["start"], s["end"], 30, 30), fixed.CAREER_WORDS)
+            return near & (just_before | ~career)
 
-    return F.filter(found, is_birth)
+        return F.filter(x, is_birth)
+
+    return in_context(t, found, kept)
 
 
 def addresses(t: Column) -> Column:
-    found = find(t, fixed.ADDRESS_PATTERN, "JP_ADDRESS", 0.7, "rule:address")
+    found = find(t, fixed.ADDRESS_PATTERN, "JP_ADDRESS", 0.7, "rule:address", needs=["東京都", "北海道", "府", "県"])
     ends = "(?:" + "|".join(fixed.NOT_ADDRESS_SUFFIXES) + r")\z"
-    real = F.filter(found, lambda s: ~s["text"].rlike(ends))
-    return F.transform(
-        real,
-        lambda s: with_score(
-            s, F.when(contains_any(around(t, s["start"], s["end"], 50, 50), fixed.ADDRESS_WORDS), 1.0).otherwise(0.7)
-        ),
-    )
+
+    def scored(x: Column, parts: Column) -> Column:
+        near = lambda s: contains_any(around(parts, s["start"], s["end"], 50, 50), fixed.ADDRESS_WORDS)
+        return F.transform(x, lambda s: with_score(s, F.when(near(s), 1.0).otherwise(0.7)))
+
+    return in_context(t, F.filter(found, lambda s: ~s["text"].rlike(ends)), scored)
 
 
 def names(t: Column) -> Column:
     """The name after a keyword; it ends where the match ends."""
 
-
-    def named(pattern: str) -> Column:
+    def named(word: str, pattern: str) -> Column:
         def cut(s: Column) -> Column:
             name = F.regexp_extract(s["text"], "(?U)" + pattern, 1)
             return make(s["entity"], s["end"] - F.length(name), s["end"], name, s["score"], s["source"])
 
-        return F.transform(find(t, pattern, "JP_PERSON", 0.85, "rule:name_keyword"), cut)
+        return F.transform(find(t, pattern, "JP_PERSON", 0.85, "rule:name_keyword", needs=[word]), cut)
 
-    return F.filter(F.concat(*[named(p) for p in fixed.NAME_PATTERNS]), lambda s: F.length(F.translate(s["text"], " 　", "")) >= 2)
+    return F.filter(
+        F.concat(*[named(*x) for x in zip(fixed.NAME_WORDS, fixed.NAME_PATTERNS, strict=True)]),
+        lambda s: F.length(F.translate(s["text"], " 　", "")) >= 2,
+    )
 
 
 def recognizers(t: Column) -> dict[str, list[Column]]:
@@ -84,8 +85,8 @@ def recognizers(t: Column) -> dict[str, list[Column]]:
         "DATE_OF_BIRTH_JP": [birth_dates(t)],
         "JP_ADDRESS": [addresses(t)],
         "JP_PERSON": [names(t)],
-        "EMAIL_ADDRESS": [find(t, fixed.EMAIL, "EMAIL_ADDRESS", 1.0, "rule:email")],
-        "PHONE_NUMBER": [find(t, p, "PHONE_NUMBER", 0.9, "rule:phone_en") for p in fixed.PHONE_EN],
+        "EMAIL_ADDRESS": [find(t, fixed.EMAIL, "EMAIL_ADDRESS", 1.0, "rule:email", needs=["@"])],
+        "PHONE_NUMBER": [find(t, p, "PHONE_NUMBER", 0.9, "rule:phone_en", needs=[x]) for p, x in zip(fixed.PHONE_EN, ["+1", "("], strict=True)],
     }
 
 
@@ -113,8 +114,10 @@ def mask(docs: DataFrame, entities: list[str] | None = None, text: str = "text",
 
 
 def explode_spans(found: DataFrame, *keys: str, spans: str = "spans") -> DataFrame:
-    s = F.explode(spans).alias("s")
-    return found.select(*keys, s).select(*keys, "s.*")
+    # the outer form: for explode, the optimizer adds a filter on the array's size below,
+    # with all rules in it, and evaluates them a second time
+    rows = found.select(*keys, F.explode_outer(spans).alias("s")).where("s IS NOT NULL")
+    return rows.select(*keys, "s.*")
 
 
 def entity_counts(found: DataFrame, *keys: str) -> DataFrame:

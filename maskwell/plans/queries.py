@@ -23,9 +23,10 @@ FIXTURE = [
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    # the rules are CPU-bound: spread inputs of fewer splits than cores; larger ones aren't shuffled
+    # the rules are CPU-bound: an input that makes fewer splits than there are cores is spread over them
     cores = spark.sparkContext.defaultParallelism
-    if docs.rdd.getNumPartitions() < cores:
+    split = int(spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes")))
+    if int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()) < cores * split:
         docs = docs.repartition(cores)
     extra = spark.createDataFrame([*FIXTURE, (-5, None)], "doc_id long, text string").coalesce(1)
     return docs.unionByName(extra)
@@ -65,7 +66,8 @@ def _segmented(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def line_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _segmented(spark, sf_dir).select("doc_id", F.explode("segments").alias("g")).select("doc_id", "g.*")
+    # the outer form, see recognize.explode_spans
+    rows = _segmented(spark, sf_dir).select("doc_id", F.explode_outer("segments").alias("g")).where("g IS NOT NULL").select("doc_id", "g.*")
     longs = [F.col(c).cast("long") for c in ("line_number", "start", "end")]
     return rows.select("doc_id", *longs, "section_id", "section_type", "text")
 
@@ -101,7 +103,7 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def verified_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All line candidates, verified, with their verdicts."""
     checked = candidates.verify(candidates.extract(corpus(spark, sf_dir)))
-    return checked.select("doc_id", F.explode("verdicts").alias("v")).select("doc_id", "v.*")
+    return candidates.explode_verdicts(checked, "doc_id")
 
 
 QUERIES = {name: _span_query(*rule) for name, rule in SPAN_RULES.items()} | {

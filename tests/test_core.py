@@ -76,7 +76,7 @@ def test_candidates_are_verified(spark):
     row = candidates.mask_verified(candidates.verify(candidates.extract(df))).first()
     got = {(v.entity, v.status, v.reason) for v in row.verdicts}
     assert got == {
-        ("JP_ZIP_CODE", "mask", "format_valid:zip_jp"),
+        ("JP_ZIP_CODE", "mask", "format_valid:jp_zip"),
         ("JP_ADDRESS", "mask", "section_boost:contact"),
         ("DATE_OF_BIRTH_JP", "exclude", "format_invalid:date"),
     }
