@@ -100,3 +100,26 @@ MASKS = {
     "PHONE_NUMBER_JP": "***-****-****",
     "CUSTOMER_ID_JP": "****",
 }
+
+# Fixed values of model seams: context words and scores of pipeline entities, tags of
+# generated text and the longest span of an entity, categories of equivalent types.
+NER_WINDOW, NER_NEAR, NER_ALONE = 50, 0.9, 0.6
+NER_PERSON_WORDS = ["氏名", "ふりがな", "フリガナ", "名前", "お名前", "姓名"]
+NER_ADDRESS_WORDS = ["住所", "現住所", "連絡先", "都道府県", "市区町村", "番地", "所在地"]
+NER_CANDIDATE_LABELS = {"PERSON": "JP_PERSON", "LOC": "JP_ADDRESS", "GPE": "JP_ADDRESS", "ORG": "JP_ORGANIZATION"}
+GENERATED_TAGS = {
+    "<name>": "JP_PERSON", "<birthday>": "DATE_OF_BIRTH_JP", "<phone-number>": "PHONE_NUMBER_JP", "<mail-address>": "EMAIL_ADDRESS",
+    "<customer-id>": "CUSTOMER_ID_JP", "<address>": "JP_ADDRESS", "<post-code>": "JP_ZIP_CODE", "<company>": "JP_ORGANIZATION",
+}
+LONGEST_GENERATED = {
+    "JP_ADDRESS": 200, "JP_PERSON": 40, "JP_ORGANIZATION": 80, "CUSTOMER_ID_JP": 40, "EMAIL_ADDRESS": 80, "PHONE_NUMBER_JP": 40,
+    "JP_ZIP_CODE": 20, "DATE_OF_BIRTH_JP": 30,
+}
+CATEGORIES = {
+    "location": ["LOCATION", "JP_ADDRESS", "LOC", "GPE"], "organization": ["ORGANIZATION", "JP_ORGANIZATION", "ORG"],
+    "person": ["PERSON", "JP_PERSON", "PER"], "identifier": ["CUSTOMER_ID_JP"],
+}
+REQUIRED_TYPES = {
+    "名前": ["PERSON", "JP_PERSON"], "Email": ["EMAIL_ADDRESS"], "住所": ["JP_ADDRESS", "ADDRESS", "LOCATION"],
+    "生年月日": ["DATE_OF_BIRTH_JP", "DATE_OF_BIRTH", "DATE"], "郵便番号": ["JP_ZIP_CODE", "ZIP_CODE"], "電話番号": ["PHONE_NUMBER_JP", "PHONE_NUMBER"],
+}

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -30,31 +31,66 @@ def make(entity, start: Column, end: Column, text: Column, score, source) -> Col
     )
 
 
-def find(t: Column, pattern: str, entity, score, source: str, offset: Column | int = 0, needs: list[str] | None = None) -> Column:
-    """All matches of a pattern that never matches the empty string, as spans.
+class Pattern(NamedTuple):
+    """A pattern that never matches the empty string, and what its matches are. ``needs``
+    are strings of which every match has one."""
+
+    entity: str
+    pattern: str
+    score: float
+    source: str
+    needs: tuple[str, ...] = ()
+
+
+#: A span with the number of the pattern that found it.
+FOUND = SPAN[:-1] + ",rule:int>"
+
+
+def find_all(t: Column, patterns: list[Pattern], offset: Column | int = 0) -> Column:
+    """The matches of all patterns as an array of FOUND, pattern by pattern.
 
     Gaps (``split``) and hits (``regexp_extract_all``) alternate, so one scan
-    over both gives the offsets. ``(?U)`` makes \\d, \\s and \\w Unicode.
-    ``needs`` are strings of which every match has one: texts without them are
-    passed over by a byte search, ahead of any regular expression.
+    over both gives the offsets; it stands in the plan once, whatever the number
+    of patterns. ``(?U)`` makes \\d, \\s and \\w Unicode. A text without a
+    pattern's ``needs`` is passed over by a byte search, ahead of any regular
+    expression, and one without a match before arrays are built.
     """
-    java = "(?U)" + pattern
-    zipped = F.arrays_zip(F.split(t, java, -1), F.regexp_extract_all(t, F.lit(java), F.lit(0)))
     base = offset if isinstance(offset, Column) else F.lit(offset)
 
+    def matched(number: int, p: Pattern) -> Column:
+        java = "(?U)" + p.pattern
+        possible = t.rlike(java)
+        if p.needs:
+            possible = reduce(lambda a, b: a | b, (t.contains(w) for w in p.needs)) & possible
+        parts = [F.lit(number).alias("rule"), F.lit(p.entity).alias("entity"), F.lit(p.score).cast("double").alias("score"), F.lit(p.source).alias("source")]
+        return F.when(possible, F.struct(*parts, F.split(t, java, -1).alias("gaps"), F.regexp_extract_all(t, F.lit(java), F.lit(0)).alias("hits")))
+
     def step(state: Column, z: Column) -> Column:
         start = state["end"] + F.length(z["0"])
         return F.struct(start.alias("start"), (start + F.length(z["1"])).alias("end"), z["1"].alias("text"))
 
     zero = F.struct(F.lit(0).alias("start"), base.cast("int").alias("end"), F.lit(None).cast("string").alias("text"))
-    # the last gap has no hit behind it
-    hits = F.filter(scan(zipped, zero, step), lambda z: z["text"].isNotNull())
-    found = F.transform(hits, lambda z: make(entity, z["start"], z["end"], z["text"], score, source))
-    # most texts have no match; the tests are cheaper than building both arrays
-    possible = t.rlike(java)
-    if needs:
-        possible = reduce(lambda a, b: a | b, (t.contains(w) for w in needs)) & possible
-    return F.when(possible, found).otherwise(no_spans())
+
+    def spans(p: Column) -> Column:
+        # the last gap has no hit behind it
+        hits = F.filter(scan(F.arrays_zip(p["gaps"].alias("0"), p["hits"].alias("1")), zero, step), lambda z: z["text"].isNotNull())
+        return F.transform(hits, lambda z: F.struct(
+            p["entity"].alias("entity"), z["start"].alias("start"), z["end"].alias("end"), z["text"].alias("text"), p["score"].alias("score"), p["source"].alias("source"), p["rule"].alias("rule")))
+
+    if not patterns:
+        return F.array().cast(f"array<{FOUND}>")
+    packs = F.array(*[matched(i, p) for i, p in enumerate(patterns)])
+    return F.flatten(F.transform(F.filter(packs, lambda p: p.isNotNull()), spans))
+
+
+def plain(spans: Column) -> Column:
+    """Spans without the pattern's number."""
+    return F.transform(spans, lambda s: with_score(s, s["score"]))
+
+
+def find(t: Column, pattern: str, entity: str, score: float, source: str, offset: Column | int = 0, needs: list[str] | None = None) -> Column:
+    """All matches of one pattern as spans."""
+    return plain(find_all(t, [Pattern(entity, pattern, score, source, tuple(needs or ()))], offset))
 
 
 #: Characters of a block of text, see ``blocks``.
@@ -200,43 +236,70 @@ def meaningful(spans: Column) -> Column:
     return F.filter(spans, lambda s: ~(blank(s) | nameless(s)))
 
 
-def decode_labels(tokens: Column, labels: dict[str, str], text: Column) -> Column:
-    """Token classes (label, score, start, end) to spans; BIO or plain labels.
+_OPEN = "struct<entity:string,start:int,end:int,score:double,n:int,words:array<string>>"
+
+
+def _decoded(tokens: Column, labels: dict[str, str]) -> Column:
+    """Token classes (label, score, start, end, word) to entities, as an array of _OPEN.
 
     ``B-`` closes and opens, ``I-`` extends only its own type, a plain label
     extends its own type and else switches, unknown plain labels and ``O``
-    close. Tokens at (0, 0) are skipped. The score is the running mean.
+    close. The score is the running mean.
     """
     known = F.create_map(*[F.lit(x) for kv in (labels or {"": ""}).items() for x in kv])
-    state = "struct<entity:string,start:int,end:int,score:double,n:int>"
-
-    def closed(acc: Column) -> Column:
-        o = acc["open"]
-        span = make(o["entity"], o["start"], o["end"], F.substr(text, o["start"] + 1, o["end"] - o["start"]), o["score"], F.lit("ner"))
-        return F.when(o.isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(span)))
+    nothing = F.lit(None).cast(_OPEN)
 
     def pair(current: Column, out: Column) -> Column:
-        return F.struct(current.cast(state).alias("open"), out.alias("out"))
+        return F.struct(current.cast(_OPEN).alias("open"), out.alias("out"))
+
+    def closed(acc: Column) -> Column:
+        return F.when(acc["open"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(acc["open"])))
 
     def step(acc: Column, k: Column) -> Column:
         o, entity = acc["open"], F.try_element_at(known, k["label"])
         fresh = F.struct(entity.alias("entity"), k["start"].cast("int").alias("start"), k["end"].cast("int").alias("end"),
-                         k["score"].cast("double").alias("score"), F.lit(1).alias("n"))
+                         k["score"].cast("double").alias("score"), F.lit(1).alias("n"), F.array(k["word"]).alias("words"))
         longer = F.struct(o["entity"].alias("entity"), o["start"].alias("start"), k["end"].cast("int").alias("end"),
-                          ((o["score"] * o["n"] + k["score"]) / (o["n"] + 1)).alias("score"), (o["n"] + 1).alias("n"))
+                          ((o["score"] * o["n"] + k["score"]) / (o["n"] + 1)).alias("score"), (o["n"] + 1).alias("n"),
+                          F.concat(o["words"], F.array(k["word"])).alias("words"))
         same = F.coalesce(o["entity"] == entity, F.lit(False))
-        nothing = F.lit(None).cast(state)
         return (
-            F.when((k["start"] == 0) & (k["end"] == 0), acc)
-            .when(k["label"].startswith("B-"), pair(F.when(entity.isNotNull(), fresh.cast(state)).otherwise(nothing), closed(acc)))
+            F.when(k["label"].startswith("B-"), pair(F.when(entity.isNotNull(), fresh.cast(_OPEN)).otherwise(nothing), closed(acc)))
             .when(k["label"].startswith("I-"), F.when(same, pair(longer, acc["out"])).otherwise(acc))
             .when(entity.isNull(), pair(nothing, closed(acc)))
             .when(same, pair(longer, acc["out"]))
             .otherwise(pair(fresh, closed(acc)))
         )
 
-    zero = F.struct(F.lit(None).cast(state).alias("open"), no_spans().alias("out"))
-    return F.aggregate(tokens, zero, step, closed)
+    return F.aggregate(tokens, pair(nothing, F.array().cast(f"array<{_OPEN}>")), step, closed)
+
+
+def decode_labels(tokens: Column, labels: dict[str, str], text: Column) -> Column:
+    """Token classes (label, score, start, end) to spans; BIO or plain labels, see
+    ``_decoded``. Tokens at (0, 0) are skipped."""
+    real = F.transform(
+        F.filter(tokens, lambda k: (k["start"] != 0) | (k["end"] != 0)),
+        lambda k: F.struct(k["label"], k["score"], k["start"], k["end"], F.lit(None).cast("string").alias("word")),
+    )
+    return F.transform(
+        _decoded(real, labels),
+        lambda o: make(o["entity"], o["start"], o["end"], F.substr(text, o["start"] + 1, o["end"] - o["start"]), o["score"], F.lit("ner")),
+    )
+
+
+def decode_words(tokens: Column, labels: dict[str, str], text: Column) -> Column:
+    """Token classes (label, score, word) of a tokenizer without offsets to spans. The first
+    and last token are marks and skipped. An entity's words, joined by spaces (pieces
+    that begin with ## by nothing), are looked for in the text, then once more
+    without spaces; the first place counts, and an entity not found goes."""
+    bare = F.slice(tokens, F.lit(2), F.greatest(F.size(tokens) - 2, F.lit(0)))
+    real = F.transform(bare, lambda k: F.struct(k["label"], k["score"], F.lit(0).alias("start"), F.lit(0).alias("end"), k["word"]))
+    joined = lambda o: F.replace(F.array_join(o["words"], " "), F.lit(" ##"), F.lit(""))
+    named = F.transform(_decoded(real, labels), lambda o: F.struct(o.alias("o"), joined(o).alias("text"), F.replace(joined(o), F.lit(" "), F.lit("")).alias("tight")))
+    placed = F.transform(named, lambda x: F.struct(
+        x["o"].alias("o"), F.when(F.instr(text, x["text"]) > 0, x["text"]).otherwise(x["tight"]).alias("text")))
+    found = F.filter(F.transform(placed, lambda x: F.struct(x["o"].alias("o"), x["text"].alias("text"), F.instr(text, x["text"]).alias("at"))), lambda x: x["at"] > 0)
+    return F.transform(found, lambda x: make(x["o"]["entity"], x["at"] - 1, x["at"] - 1 + F.length(x["text"]), x["text"], x["o"]["score"], F.lit("ner")))
 
 
 def mask_of(entity: Column, masks: dict[str, str] | None = None) -> Column:

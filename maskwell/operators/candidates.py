@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from maskwell.functions import fixed
 from maskwell.functions.arrays import let
-from maskwell.functions.spans import SPAN, apply_masks, clusters, find, make, merge_candidates, no_spans, overlap, priority
+from maskwell.functions.spans import SPAN, Pattern, apply_masks, clusters, find_all, make, merge_candidates, no_spans, overlap, priority
 from maskwell.functions.text import contains_any, normalize, segments, strip
 
 #: A line candidate: a span with the section of its line.
@@ -28,33 +28,44 @@ def _digit(c: Column) -> Column:
     return c.rlike(r"(?U)^\d$")
 
 
-def zip_jp(seg: Column) -> Column:
-    """Japanese post codes that don't continue a number before them."""
-    t = seg["text"]
-
-    def free(s: Column) -> Column:
-        at = s["start"] - seg["start"]
-        one, two = _char(t, at - 1), _char(t, at - 2)
-        return ~(_digit(one) | (_digit(two) & (one == "-")))
-
-    return F.filter(find(t, fixed.ZIP_JP, "JP_ZIP_CODE", 0.95, "rule:jp_zip_regex", seg["start"], ["-"]), free)
+#: The rules of a line, in the order that breaks ties.
+PATTERNS = [
+    Pattern("EMAIL_ADDRESS", fixed.EMAIL, 0.95, "rule:email_regex", ("@",)),
+    *[Pattern("PHONE_NUMBER_JP", p, 0.9, "rule:phone_jp_regex", (w,)) for p, w in zip(fixed.PHONE_JP, ("-", "0", "+81"), strict=True)],
+    *[Pattern("PHONE_NUMBER", p, 0.9, "rule:phone_en_regex", (w,)) for p, w in zip(fixed.PHONE_EN, ("+1", "("), strict=True)],
+    Pattern("JP_ZIP_CODE", fixed.ZIP_JP, 0.95, "rule:jp_zip_regex", ("-",)),
+    Pattern("US_ZIP_CODE", fixed.ZIP_US, 0.7, "rule:us_zip_regex"),
+    *[Pattern("DATE", p, 0.5, "rule:date_regex", (w,)) for p, w in zip(fixed.DATES, "-年/", strict=True)],
+    Pattern("JP_AGE", fixed.AGE, 0.85, "rule:age_regex", ("歳",)),
+    Pattern("JP_GENDER", fixed.GENDER, 0.8, "rule:gender_regex", ("男", "女")),
+]
 
 
-def zip_us(seg: Column) -> Column:
-    found = find(seg["text"], fixed.ZIP_US, "US_ZIP_CODE", 0.7, "rule:us_zip_regex", seg["start"])
-    year = lambda s: _ascii_int(F.substr(s["text"], F.lit(1), F.lit(4))).between(1900, 2100)
-    return F.when(seg["section_type"].isin("contact", "header"), F.filter(found, lambda s: ~year(s))).otherwise(no_spans())
+def pattern_candidates(seg: Column) -> Column:
+    """The patterns' spans in a line, less post codes that go on with a number before
+    them, US codes that are years or stand outside of contact and header, and ages
+    beyond 120; dates are birth dates in a line with a birth word."""
+    t, source = seg["text"], lambda s: s["source"]
+    birth = contains_any(F.lower(t), fixed.BIRTH_LINE_WORDS)
 
+    def stands(s: Column) -> Column:
+        at = s["start"] - seg["start"]
+        one, two = _char(t, at - 1), _char(t, at - 2)
+        free = ~(_digit(one) | (_digit(two) & (one == "-")))
+        year = _ascii_int(F.substr(s["text"], F.lit(1), F.lit(4))).between(1900, 2100)
+        young = _ascii_int(F.regexp_extract(s["text"], r"(?U)(\d+)", 1)).between(0, 120)
+        return (
+            F.when(source(s) == "rule:jp_zip_regex", free)
+            .when(source(s) == "rule:us_zip_regex", seg["section_type"].isin("contact", "header") & ~year)
+            .when(source(s) == "rule:age_regex", young)
+            .otherwise(True)
+        )
 
-def dates(seg: Column) -> Column:
-    birth = contains_any(F.lower(seg["text"]), fixed.BIRTH_LINE_WORDS)
-    entity, score = F.when(birth, "DATE_OF_BIRTH_JP").otherwise("DATE"), F.when(birth, 0.9).otherwise(0.5)
-    return F.concat(*[find(seg["text"], p, entity, score, "rule:date_regex", seg["start"], [x]) for p, x in zip(fixed.DATES, "-年/", strict=True)])
-
+    def dated(s: Column) -> Column:
+        is_birth = (source(s) == "rule:date_regex") & birth
+        return make(F.when(is_birth, "DATE_OF_BIRTH_JP").otherwise(s["entity"]), s["start"], s["end"], s["text"], F.when(is_birth, 0.9).otherwise(s["score"]), source(s))
 
-def ages(seg: Column) -> Column:
-    found = find(seg["text"], fixed.AGE, "JP_AGE", 0.85, "rule:age_regex", seg["start"], ["歳"])
-    return F.filter(found, lambda s: _ascii_int(F.regexp_extract(s["text"], r"(?U)(\d+)", 1)).between(0, 120))
+    return F.transform(F.filter(find_all(t, PATTERNS, seg["start"]), stands), dated)
 
 
 def addresses(seg: Column) -> Column:
@@ -76,18 +87,7 @@ def addresses(seg: Column) -> Column:
 
 def line_candidates(seg: Column) -> Column:
     """All rules on one segment; each candidate carries the segment's section."""
-    t, at = seg["text"], seg["start"]
-    spans = F.concat(
-        find(t, fixed.EMAIL, "EMAIL_ADDRESS", 0.95, "rule:email_regex", at, ["@"]),
-        *[find(t, p, "PHONE_NUMBER_JP", 0.9, "rule:phone_jp_regex", at, [x]) for p, x in zip(fixed.PHONE_JP, ["-", "0", "+81"], strict=True)],
-        *[find(t, p, "PHONE_NUMBER", 0.9, "rule:phone_en_regex", at, [x]) for p, x in zip(fixed.PHONE_EN, ["+1", "("], strict=True)],
-        zip_jp(seg),
-        zip_us(seg),
-        dates(seg),
-        ages(seg),
-        find(t, fixed.GENDER, "JP_GENDER", 0.8, "rule:gender_regex", at, ["男", "女"]),
-        addresses(seg),
-    )
+    spans = F.concat(pattern_candidates(seg), addresses(seg))
     return F.transform(spans, lambda s: in_section(s, seg["section_id"], seg["section_type"]))
 
 

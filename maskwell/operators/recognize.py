@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from maskwell.functions import fixed
-from maskwell.functions.spans import apply_masks, around, deduplicate, find, in_context, make, meaningful, with_score
+from maskwell.functions.arrays import let
+from maskwell.functions.spans import Pattern, apply_masks, around, deduplicate, find_all, in_context, make, meaningful, plain, with_score
 from maskwell.functions.text import contains_any, normalize
 
 #: Our own rule for context words: one within this many characters before the span lifts its score.
@@ -16,78 +17,74 @@ DEFAULT_ENTITIES = [
 ]
 
 
-def pattern_spans(t: Column, rule: str) -> Column:
-    name, entity, pattern, score = next(r for r in fixed.DOCUMENT_PATTERNS if r[0] == rule)
-    return find(t, pattern, entity, score, f"rule:{name}", needs=fixed.NEEDED[name])
+def _rules() -> list[tuple[str, Pattern]]:
+    """(recognizer, pattern) in the order that breaks ties."""
+    kinds = {"phone_jp": "phone_jp", "mobile_jp": "phone_jp", "zip_jp": "zip_jp", "age_sai": "age", "age_sai_short": "age", "gender": "gender"}
+    out = [(kinds[name], Pattern(entity, pattern, score, f"rule:{name}", tuple(fixed.NEEDED[name]))) for name, entity, pattern, score in fixed.DOCUMENT_PATTERNS]
+    # a text without a birth word has no birth date
+    out += [("birth_date", Pattern("DATE_OF_BIRTH_JP", p, 1.0, "rule:birth_date", tuple(fixed.BIRTH_WORDS))) for p in fixed.BIRTH_DATE_PATTERNS]
+    out.append(("address", Pattern("JP_ADDRESS", fixed.ADDRESS_PATTERN, 0.7, "rule:address", ("東京都", "北海道", "府", "県"))))
+    out += [("name_keyword", Pattern("JP_PERSON", p, 0.85, "rule:name_keyword", (w,))) for w, p in zip(fixed.NAME_WORDS, fixed.NAME_PATTERNS, strict=True)]
+    out.append(("email", Pattern("EMAIL_ADDRESS", fixed.EMAIL, 1.0, "rule:email", ("@",))))
+    out += [("phone_en", Pattern("PHONE_NUMBER", p, 0.9, "rule:phone_en", (w,))) for p, w in zip(fixed.PHONE_EN, ("+1", "("), strict=True)]
+    return out
 
 
-def lifted(t: Column, spans: Column, entity: str) -> Column:
-    words = fixed.CONTEXT_WORDS[entity]
+RULES = _rules()
+#: Recognizer -> the sources of its spans.
+SOURCES = {name: tuple(dict.fromkeys(p.source for n, p in RULES if n == name)) for name, _ in RULES}
 
-    def scored(x: Column, parts: Column) -> Column:
-        near = lambda s: contains_any(around(parts, s["start"], s["start"], CONTEXT_BEFORE, 0), words)
-        return F.transform(x, lambda s: with_score(s, F.when(near(s), F.least(F.lit(1.0), s["score"] + CONTEXT_LIFT)).otherwise(s["score"])))
 
-    return in_context(t, spans, scored)
+def rule_spans(t: Column, entities: list[str] | None = None, recognizers: list[str] | None = None) -> Column:
+    """Unresolved spans of the rules for the entities (and of the recognizers) asked for.
 
-
-def birth_dates(t: Column) -> Column:
-    """Dates with a birth word within 50 characters; a career word within 30 drops
-    them unless a birth word stands in the 20 characters before."""
-    # a text without a birth word has none
-    found = F.concat(*[find(t, p, "DATE_OF_BIRTH_JP", 1.0, "rule:birth_date", needs=fixed.BIRTH_WORDS) for p in fixed.BIRTH_DATE_PATTERNS])
-
-    def kept(x: Column, parts: Column) -> Column:
-        def is_birth(s: Column) -> Column:
-            near = contains_any(around(parts, s["start"], s["end"], 50, 50), fixed.BIRTH_WORDS)
-            just_before = contains_any(around(parts, s["start"], s["start"], 20, 0), fixed.BIRTH_WORDS)
-            career = contains_any(around(parts, s["start"], s["end"], 30, 30), fixed.CAREER_WORDS)
-            return near & (just_before | ~career)
-
-        return F.filter(x, is_birth)
-
-    return in_context(t, found, kept)
-
-
-def addresses(t: Column) -> Column:
-    found = find(t, fixed.ADDRESS_PATTERN, "JP_ADDRESS", 0.7, "rule:address", needs=["東京都", "北海道", "府", "県"])
-    ends = "(?:" + "|".join(fixed.NOT_ADDRESS_SUFFIXES) + r")\z"
-
-    def scored(x: Column, parts: Column) -> Column:
-        near = lambda s: contains_any(around(parts, s["start"], s["end"], 50, 50), fixed.ADDRESS_WORDS)
-        return F.transform(x, lambda s: with_score(s, F.when(near(s), 1.0).otherwise(0.7)))
-
-    return in_context(t, F.filter(found, lambda s: ~s["text"].rlike(ends)), scored)
-
-
-def names(t: Column) -> Column:
-    """The name after a keyword; it ends where the match ends."""
-
-    def named(word: str, pattern: str) -> Column:
-        def cut(s: Column) -> Column:
-            name = F.regexp_extract(s["text"], "(?U)" + pattern, 1)
-            return make(s["entity"], s["end"] - F.length(name), s["end"], name, s["score"], s["source"])
-
-        return F.transform(find(t, pattern, "JP_PERSON", 0.85, "rule:name_keyword", needs=[word]), cut)
-
-    return F.filter(
-        F.concat(*[named(*x) for x in zip(fixed.NAME_WORDS, fixed.NAME_PATTERNS, strict=True)]),
-        lambda s: F.length(F.translate(s["text"], " 　", "")) >= 2,
-    )
-
-
-def recognizers(t: Column) -> dict[str, list[Column]]:
-    """Entity -> span arrays, in the order that breaks ties."""
-    plain: dict[str, list[Column]] = {}
-    for name, entity, _, _ in fixed.DOCUMENT_PATTERNS:
-        plain.setdefault(entity, []).append(lifted(t, pattern_spans(t, name), entity))
-    return plain | {
-        "DATE_OF_BIRTH_JP": [birth_dates(t)],
-        "JP_ADDRESS": [addresses(t)],
-        "JP_PERSON": [names(t)],
-        "EMAIL_ADDRESS": [find(t, fixed.EMAIL, "EMAIL_ADDRESS", 1.0, "rule:email", needs=["@"])],
-        "PHONE_NUMBER": [find(t, p, "PHONE_NUMBER", 0.9, "rule:phone_en", needs=[x]) for p, x in zip(fixed.PHONE_EN, ["+1", "("], strict=True)],
-    }
+    Context decides on scores and on what a match is: a context word in the 50
+    characters before lifts phones, zips, ages and genders; a birth date needs a
+    birth word within 50 characters, and a career word within 30 drops it unless
+    a birth word stands in the 20 before; an address ends in no name of a school
+    or company and is sure beside an address word; a name is what follows its
+    keyword, to the end of the match, of two characters or more.
+    """
+    chosen = [p for name, p in RULES if (entities is None or p.entity in entities) and (recognizers is None or name in recognizers)]
+    have = {p.entity for p in chosen}
+    found = find_all(t, chosen)
+    if "JP_PERSON" in have:
+        numbered = [(i, "(?U)" + p.pattern) for i, p in enumerate(chosen) if p.entity == "JP_PERSON"]
+        named = lambda s: F.coalesce(*[F.when(s["rule"] == i, F.regexp_extract(s["text"], java, 1)) for i, java in numbered])
+        cut = lambda s: let(named(s), lambda name: make(s["entity"], s["end"] - F.length(name), s["end"], name, s["score"], s["source"]))
+        found = F.transform(found, lambda s: F.when(s["entity"] == "JP_PERSON", cut(s)).otherwise(with_score(s, s["score"])))
+        found = F.filter(found, lambda s: (s["entity"] != "JP_PERSON") | (F.length(F.translate(s["text"], " 　", "")) >= 2))
+    else:
+        found = plain(found)
+    if "JP_ADDRESS" in have:
+        ends = "(?:" + "|".join(fixed.NOT_ADDRESS_SUFFIXES) + r")\z"
+        found = F.filter(found, lambda s: (s["entity"] != "JP_ADDRESS") | ~s["text"].rlike(ends))
+    contextual = have & {*fixed.CONTEXT_WORDS, "DATE_OF_BIRTH_JP", "JP_ADDRESS"}
+    if not contextual:
+        return found
+
+    def judged(x: Column, parts: Column) -> Column:
+        before = lambda s, n: around(parts, s["start"], s["start"], n, 0)
+        near = lambda s, n: around(parts, s["start"], s["end"], n, n)
+        if "DATE_OF_BIRTH_JP" in have:
+            is_birth = lambda s: contains_any(near(s, 50), fixed.BIRTH_WORDS) & (
+                contains_any(before(s, 20), fixed.BIRTH_WORDS) | ~contains_any(near(s, 30), fixed.CAREER_WORDS)
+            )
+            x = F.filter(x, lambda s: (s["entity"] != "DATE_OF_BIRTH_JP") | is_birth(s))
+
+        def score(s: Column) -> Column:
+            out = s["score"]
+            for entity, words in fixed.CONTEXT_WORDS.items():
+                if entity in have:
+                    lifted = F.least(F.lit(1.0), s["score"] + CONTEXT_LIFT)
+                    out = F.when((s["entity"] == entity) & contains_any(before(s, CONTEXT_BEFORE), words), lifted).otherwise(out)
+            if "JP_ADDRESS" in have:
+                out = F.when((s["entity"] == "JP_ADDRESS") & contains_any(near(s, 50), fixed.ADDRESS_WORDS), 1.0).otherwise(out)
+            return out
+
+        return F.transform(x, lambda s: with_score(s, score(s)))
+
+    return in_context(t, found, judged)
 
 
 def detect(
@@ -101,10 +98,9 @@ def detect(
     """
     asked = entities or DEFAULT_ENTITIES
     docs = docs.withColumn(text, normalize(F.col(text)) if preprocess else F.coalesce(F.col(text), F.lit("")))
-    rules = [c for entity, cs in recognizers(F.col(text)).items() if entity in asked for c in cs]
-    if extra is not None:
-        rules.append(extra)
-    return docs.withColumn(out, F.concat(*rules)).withColumn(out, deduplicate(meaningful(F.col(out))))
+    spans = rule_spans(F.col(text), asked)
+    docs = docs.withColumn(out, spans if extra is None else F.concat(spans, extra))
+    return docs.withColumn(out, deduplicate(meaningful(F.col(out))))
 
 
 def mask(docs: DataFrame, entities: list[str] | None = None, text: str = "text", **options) -> DataFrame:

@@ -1,34 +1,33 @@
-"""Registered queries over ``documents`` plus a small fixture in Japanese, and their SQL.
+"""Registered queries over ``documents`` plus small fixtures in Japanese and English.
 
 The driver's documents hold no Japanese, so each query adds the fixture's rows.
+The SQL that states what they return is in ``oracle``.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskwell.functions import fixed
-from maskwell.functions.spans import find
-from maskwell.functions.text import is_japanese, normalize, section_text, segments
-from maskwell.operators import candidates, recognize
-
-FIXTURE = [
-    (-1, "基本情報\n氏名 山田 太郎\n生年月日 1990年5月15日 (32歳) 男性\n住所 〒150-0001 東京都渋谷区神宮前一丁目\n電話 090-1234-5678\nmail taro@example.com"),
-    (-2, "学歴\n1990/4/1 入学 東京都立中央高等学校\n職歴\n2010-04-01 入社  大阪府大阪市北区梅田三丁目\nスキル\nTEL 03-1234-5678"),
-    (-3, "  Contact:  x　y\n\n\n\nTEL +1-555-123-4567 or (555) 123-4567, 12345-6789\nEducation\nBirth 1985-02-30 a.b@c.org,d@e.net\nSkills\n女性 45才"),
-    (-4, ""),
-]
-
+from maskwell.functions.spans import Pattern, decode_labels, decode_words, deduplicate, find, find_all, plain
+from maskwell.functions.text import encode_lines, is_japanese, narrow_punctuation, normalize, reconstruct, section_text, segments
+from maskwell.operators import allow, candidates, generated, models, recognize, results, resumes, routing
+from maskwell.plans import fixtures, oracle
+from maskwell.sources import files
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     # the rules are CPU-bound: an input that makes fewer splits than there are cores is spread over them
     cores = spark.sparkContext.defaultParallelism
     split = int(spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes")))
-    if int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()) < cores * split:
+    if int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < cores * split:
         docs = docs.repartition(cores)
-    extra = spark.createDataFrame([*FIXTURE, (-5, None)], "doc_id long, text string").coalesce(1)
+    extra = spark.createDataFrame([*fixtures.FIXTURE, (-5, None)], "doc_id long, text string").coalesce(1)
     return docs.unionByName(extra)
 
 
@@ -91,83 +90,288 @@ def entity_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recognize.entity_counts(found).select("entity", "n")
 
 
+def _longs(rows: DataFrame) -> DataFrame:
+    """Offsets as long, as the SQL has them."""
+    return rows.withColumns({c: F.col(c).cast("long") for c in ("start", "end") if c in rows.columns})
+
+
+def _detected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recognize.detect(corpus(spark, sf_dir))
+
+
 def document_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All document rules, resolved."""
-    return recognize.explode_spans(recognize.detect(corpus(spark, sf_dir)), "doc_id")
+    return _longs(recognize.explode_spans(_detected(spark, sf_dir), "doc_id"))
 
 
 def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return recognize.log_lines(recognize.detect(corpus(spark, sf_dir)), "doc_id")
+    return _longs(recognize.log_lines(_detected(spark, sf_dir), "doc_id"))
+
+
+def masked_all_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All default entity types masked."""
+    return recognize.mask(corpus(spark, sf_dir)).select("doc_id", "masked", F.col("n_entities").cast("long"))
+
+
+def entity_stats_all_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recognize.entity_counts(_detected(spark, sf_dir)).select("entity", "n")
+
+
+def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return results.assemble(_detected(spark, sf_dir))
+
+
+def entity_counts_by_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The type map of each document's result, as rows."""
+    rows = _results(spark, sf_dir).select("doc_id", F.col("result.stats.total_entities").cast("long").alias("total"), F.explode_outer("result.stats.entities_by_type").alias("entity", "n"))
+    return rows.where("entity IS NOT NULL").select("doc_id", "total", "entity", F.col("n").cast("long").alias("n"))
+
+
+def _reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return results.detection_report(_detected(spark, sf_dir), F.lit("2024-01-02 03:04:05").cast("timestamp"))
+
+
+def detection_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's log section, with a fixed time."""
+    return _reports(spark, sf_dir).select("doc_id", "report")
+
+
+def parsed_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The detections read back from the log sections."""
+    rows = _reports(spark, sf_dir).select("doc_id", F.explode_outer(results.parse_report(F.col("report"))).alias("d")).where("d IS NOT NULL")
+    return _longs(rows.select("doc_id", "d.*"))
+
+
+def missing_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The required categories that a document's last log section lacks."""
+    types = recognize.parse_last_log_section(F.col("report"))
+    return _reports(spark, sf_dir).select("doc_id", F.array_join(results.missing_types(types), ",").alias("missing"))
+
+
+def recognizer_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = corpus(spark, sf_dir).withColumn("text", normalize(F.col("text")))
+    rows = results.audit(docs, routing.default_registry(), "doc_id")
+    return _longs(rows).withColumn("ord", F.col("ord").cast("long"))
+
+
+def auto_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules of both languages, merged by covered positions, less two allowed addresses."""
+    asked = [*routing.requested(), "PHONE_NUMBER"]
+    found = routing.analyze(corpus(spark, sf_dir), "auto", asked, allow=["help@example.com", "taro@example.com"], preprocess=True)
+    return _longs(recognize.explode_spans(found, "doc_id"))
+
+
+class StaffNumbers:
+    """A stand-in for a model, of one pattern."""
+
+    def spans(self, texts: list[str]) -> list[list[tuple[str, int, int, float]]]:
+        return [[("ID", m.start(), m.end(), 0.875) for m in re.finditer(r"EMP[0-9]{5}", t)] + [("LOW", 0, min(3, len(t)), 0.5)] for t in texts]
+
+
+STAFF_MODEL = models.ModelSpec("staff", "staff numbers", "ja", ("CUSTOMER_ID_JP",), StaffNumbers, labels={"ID": "CUSTOMER_ID_JP", "LOW": "CUSTOMER_ID_JP"})
+
+
+def routed_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pattern entities from the rules, customer ids from a model."""
+    registry = models.ModelRegistry([STAFF_MODEL], {"ja": "staff"})
+    found = routing.analyze_routed(corpus(spark, sf_dir), registry, preprocess=True)
+    return _longs(recognize.explode_spans(found, "doc_id"))
+
+
+def _dictionary(spark: SparkSession) -> DataFrame:
+    return allow.parse_dictionary(spark.createDataFrame(list(enumerate(fixtures.DICTIONARY)), "position long, value string"))
+
+
+def allow_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _dictionary(spark).select("term", "position", F.col("nth").cast("long").alias("nth"))
+
+
+def allowlist_excluded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans whose text is no dictionary term."""
+    return allow.drop_allowed(document_spans(spark, sf_dir), _dictionary(spark))
+
+
+def reconstructed_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _segmented(spark, sf_dir).select("doc_id", reconstruct(F.col("segments")).alias("text"))
+
+
+def section_located(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Emails with the section of the line they start in."""
+    segs = line_segments(spark, sf_dir).select("doc_id", "start", "end", "section_id", "section_type")
+    return results.locate(email_spans(spark, sf_dir), segs)
+
+
+def overlap_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlaps between unresolved phone and zip spans."""
+    t = normalize(F.col("text"))
+    docs = corpus(spark, sf_dir).select("doc_id", t.alias("text"))
+    rules = [("PHONE_NUMBER_JP", fixed.PHONE_JP[0], "-"), ("PHONE_NUMBER", fixed.PHONE_EN[1], "("), ("JP_ZIP_CODE", r"\d{3}-\d{4}", "-")]
+    spans = plain(find_all(F.col("text"), [Pattern(e, p, 1.0, "rule", (x,)) for e, p, x in rules]))
+    return results.overlapping_pairs(_longs(recognize.explode_spans(docs.select("doc_id", spans.alias("spans")), "doc_id")))
+
+
+def _verified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return candidates.verify(candidates.extract(corpus(spark, sf_dir)))
 
 
 def verified_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All line candidates, verified, with their verdicts."""
-    checked = candidates.verify(candidates.extract(corpus(spark, sf_dir)))
-    return candidates.explode_verdicts(checked, "doc_id")
+    return _longs(candidates.explode_verdicts(_verified(spark, sf_dir), "doc_id"))
 
 
-QUERIES = {name: _span_query(*rule) for name, rule in SPAN_RULES.items()} | {
-    f.__name__: f
-    for f in (
-        normalized_text, line_segments, section_summary, contact_text, masked_documents, entity_stats, document_spans, log_lines,
-        verified_candidates,
-    )
-}
+def status_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _longs(candidates.by_status(_verified(spark, sf_dir), "doc_id", include_review=True))
+
+
+def flat_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _longs(candidates.flat_detections(_verified(spark, sf_dir), "doc_id"))
+
+
+def masked_verified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return candidates.mask_verified(_verified(spark, sf_dir)).select("doc_id", "masked")
+
+
+def dual_confirmed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Document spans that a verified candidate of the same category confirms."""
+    kinds = {e: c for c, es in fixed.CATEGORIES.items() for e in es}
+    return recognize.confirm_by_both(document_spans(spark, sf_dir), status_filtered(spark, sf_dir), kinds)
+
+
+def confident_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _detected(spark, sf_dir).withColumn("spans", models.confident(F.col("spans")))
+    return _longs(recognize.explode_spans(found, "doc_id"))
+
+
+def recall_by_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    expected = spark.createDataFrame(fixtures.EXPECTED, "doc_id long, text string")
+    return results.recall(results.recalled(expected, document_spans(spark, sf_dir)), "doc_id")
+
+
+def _with_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fixture's documents, normalised, with entities of a language pipeline."""
+    docs = corpus(spark, sf_dir).withColumn("text", normalize(F.col("text")))
+    rows = spark.createDataFrame(fixtures.PIPELINE_ENTITIES, "doc_id long, label string, word string").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("label", "word"))).alias("words"))
+    at = lambda w: F.instr(F.col("text"), w["word"]) - 1
+    found = F.transform("words", lambda w: F.struct(w["label"].alias("label"), at(w).alias("start"), (at(w) + F.length(w["word"])).alias("end")))
+    return docs.join(F.broadcast(rows), "doc_id", "left").withColumn("entities", found)
+
+
+def ner_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Persons and places of a language pipeline, scored by context words."""
+    docs = _with_entities(spark, sf_dir)
+    spans = F.concat(models.person_entities(F.col("text"), F.col("entities")), models.address_entities(F.col("text"), F.col("entities")))
+    return _longs(recognize.explode_spans(docs.select("doc_id", spans.alias("spans")), "doc_id")).drop("source")
+
+
+def ner_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A language pipeline's entities among the line candidates, with their sections."""
+    docs = _with_entities(spark, sf_dir)
+    docs = docs.withColumn("ner", models.ner_candidates(F.col("text"), F.col("entities")))
+    found = candidates.extract(docs, ner="ner")
+    rows = found.select("doc_id", F.explode_outer("candidates").alias("c")).where("c.source LIKE 'ner:%'").select("doc_id", "c.entity", "c.start", "c.end", "c.text", "c.score", "c.section_type")
+    return _longs(rows)
+
+
+def decoded_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = spark.createDataFrame(fixtures.TOKENS, "id long, text string, tokens array<struct<label:string,score:double,start:int,end:int>>")
+    spans = decode_labels(F.col("tokens"), fixtures.TOKEN_LABELS, F.col("text"))
+    return _longs(recognize.explode_spans(df.select("id", spans.alias("spans")), "id")).drop("source")
+
+
+def decoded_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = spark.createDataFrame(fixtures.WORDS, "id long, text string, tokens array<struct<label:string,score:double,word:string>>")
+    spans = decode_words(F.col("tokens"), fixtures.TOKEN_LABELS, F.col("text"))
+    return _longs(recognize.explode_spans(df.select("id", spans.alias("spans")), "id")).drop("source")
 
 
-def _quote(s: str) -> str:
-    return "'" + s.replace("'", "''") + "'"
+def _recovered(spark: SparkSession) -> DataFrame:
+    df = spark.createDataFrame(fixtures.GENERATED, "id long, text string, generated string")
+    return generated.with_recovered_spans(df, [*fixed.GENERATED_TAGS.values()])
 
 
-def _base() -> str:
-    rows = ", ".join(f"({i}, {' || chr(10) || '.join(_quote(x) for x in t.split(chr(10)))})" for i, t in [*FIXTURE])
-    edge = r"^[\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}]+|[\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}]+$"
-    return rf"""
-WITH RECURSIVE c AS (SELECT doc_id, text FROM documents UNION ALL SELECT * FROM (VALUES {rows}, (-5, NULL)) v(doc_id, text)),
-n AS (SELECT doc_id, text AS raw, regexp_replace(regexp_replace(regexp_replace(replace(coalesce(text, ''), '　', ' '),
-        '[ \t]{{2,}}', ' ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '{edge}', '', 'g') AS text FROM c)"""
+def recovered_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans recovered from generated text."""
+    rows = _longs(recognize.explode_spans(_recovered(spark), "id", spans="recovered"))
+    return rows.select("id", "entity", "start", "end", "text", F.round("score", 6).alias("score"))
 
 
-def _spans_sql(entity: str, pattern: str) -> str:
-    p = _quote(pattern)
-    return f"""{_base()},
-m AS (SELECT doc_id, regexp_extract_all(text, {p}) AS hits, string_split_regex(text, {p}) AS gaps FROM n),
-s AS (SELECT doc_id, hits, gaps, unnest(range(1, len(hits) + 1)) AS i FROM m),
-e AS (SELECT doc_id, hits[i] AS text, length(array_to_string(gaps[1:i], '')) + length(array_to_string(hits[1:i], '')) AS stop FROM s)
-SELECT doc_id, '{entity}' AS entity, (stop - length(text))::BIGINT AS start, stop::BIGINT AS "end", text FROM e"""
+def discarded_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _recovered(spark).select("id", F.explode_outer("discarded").alias("d")).where("d IS NOT NULL").select("id", "d.tag", "d.reason")
 
 
-def _segments_cte() -> str:
-    cases = []
-    for kind, (ja, en) in fixed.SECTION_HEADINGS.items():
-        tests = [f"contains(body, {_quote(w)})" for w in ja] + [f"contains(lower(body), {_quote(w.lower())})" for w in en]
-        cases.append(f"WHEN {' OR '.join(tests)} THEN '{kind}'")
-    blank = r"[\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}]+"
-    return rf"""{_base()},
-x AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM n),
-o AS (SELECT *, regexp_replace(regexp_replace(line, '^{blank}', ''), '{blank}$', '') AS body,
-        length(line) - length(regexp_replace(line, '^{blank}', '')) AS lead,
-        coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM x),
-k AS (SELECT *, CASE {' '.join(cases)} END AS kind FROM o WHERE body <> ''),
-g AS (SELECT doc_id, (row_number() OVER w - 1)::BIGINT AS line_number, (pos + lead)::BIGINT AS start, (pos + lead + length(body))::BIGINT AS "end",
-        'section_' || count(kind) OVER w AS section_id, coalesce(last_value(kind IGNORE NULLS) OVER w, 'header') AS section_type, body AS text
-      FROM k WINDOW w AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))"""
+def generation_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.coalesce("text", F.lit(""))
+    return corpus(spark, sf_dir).select("doc_id", encode_lines(t).alias("encoded"), narrow_punctuation(t).alias("narrow"))
+
+
+def docx_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text as a generated .docx (its lines as paragraphs), read back through the dispatch."""
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [files.write_docx((t or "").split("\n")) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], ["path", "content"])
+
+    made = corpus(spark, sf_dir).select(F.concat(F.lit("in/"), F.col("doc_id").cast("string"), F.lit(".DOCX")).alias("path"), "text").mapInArrow(build, "path string, content binary")
+    read = files.extract_text(made)
+    return read.select(F.regexp_extract("path", r"(-?\d+)\.", 1).cast("long").alias("doc_id"), "text", "error")
+
+
+def _resumes(spark: SparkSession) -> DataFrame:
+    rows = [
+        (i, lang, job, (name, email, f"{i} Street", "000-0000", "000", "1990-01-01"), (school, degree, year), [(company, position, since, until, f"Work at {company}.")], tech, certs)
+        for i, lang, job, tech, certs, name, email, school, degree, year, company, position, since, until in fixtures.RESUMES
+    ]
+    return spark.createDataFrame(rows, resumes.RESUME)
+
+
+def resume_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resumes.job_titles(_resumes(spark))
+
+
+def resume_technologies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten most common technologies; a top-k report."""
+    return resumes.top_technologies(_resumes(spark))
+
+
+def resume_emails(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resumes.of_language(_resumes(spark), "Japanese")
+
+
+def resume_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resumes.as_text(_resumes(spark)).select("id", "text")
+
+
+def resume_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections of the projected texts, by the structure rules."""
+    segs = resumes.as_text(_resumes(spark)).withColumn("segments", segments(normalize(F.col("text"))))
+    rows = segs.select("id", F.explode_outer("segments").alias("g")).where("g IS NOT NULL")
+    return rows.groupBy("id", F.col("g.section_type").alias("section_type")).agg(F.count("*").alias("lines"))
+
+
+def score_resolved_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bare phone and zip patterns, resolved by score."""
+    docs = corpus(spark, sf_dir).withColumn("text", normalize(F.col("text")))
+    rules = [("PHONE_NUMBER_JP", fixed.PHONE_JP[0], 0.9, "-"), ("JP_ZIP_CODE", r"\d{3}-\d{4}", 0.95, "-"), ("PHONE_NUMBER", fixed.PHONE_EN[1], 0.92, "(")]
+    found = plain(find_all(F.col("text"), [Pattern(e, p, s, "rule", (x,)) for e, p, s, x in rules]))
+    rows = recognize.explode_spans(docs.select("doc_id", deduplicate(found).alias("spans")), "doc_id")
+    return _longs(rows).select("doc_id", "entity", "start", "end", "text", "score")
+
+
+_SPAN_QUERIES = {name: _span_query(*rule) for name, rule in SPAN_RULES.items()}
+email_spans = _SPAN_QUERIES["email_spans"]
+QUERIES = _SPAN_QUERIES | {
+    f.__name__: f
+    for f in (
+        normalized_text, line_segments, section_summary, contact_text, masked_documents, entity_stats, document_spans, log_lines, verified_candidates,
+        masked_all_types, entity_stats_all_types, entity_counts_by_document, detection_reports, parsed_reports, missing_types, recognizer_audit,
+        auto_language_spans, routed_spans, allow_terms, allowlist_excluded, reconstructed_text, section_located, overlap_pairs, status_filtered,
+        flat_detections, masked_verified, dual_confirmed, confident_spans, recall_by_document, ner_scored, ner_candidates, decoded_labels, decoded_words,
+        recovered_spans, discarded_tags, generation_codec, docx_text, resume_titles, resume_technologies, resume_emails, resume_text, resume_sections,
+        score_resolved_spans,
+    )
+}
 
 
 def oracle_sql() -> dict[str, str]:
-    mask = "|".join([f"(?:{fixed.EMAIL})", *fixed.PHONE_EN])
-    # RE2's \w is ASCII; letters beyond it are named as classes
-    mask = _quote(mask.replace(r"\w._%+-", r"\pL\pN._%+-"))
-    counted = {"EMAIL_ADDRESS": fixed.EMAIL.replace(r"\w._%+-", r"\pL\pN._%+-"), "PHONE_NUMBER": "|".join(fixed.PHONE_EN)}
-    counts = " UNION ALL ".join(f"SELECT '{e}' AS entity, sum(len(regexp_extract_all(text, {_quote(p)})))::BIGINT AS n FROM n" for e, p in counted.items())
-    return {name: _spans_sql(*rule) for name, rule in SPAN_RULES.items()} | {
-        "normalized_text": _base() + "\nSELECT doc_id, text, regexp_matches(coalesce(raw, ''), '[ぁ-んァ-ン一-龯]') AS japanese FROM n",
-        "line_segments": _segments_cte() + "\nSELECT * FROM g",
-        "section_summary": _segments_cte() + "\nSELECT doc_id, section_type, count(*) AS lines FROM g GROUP BY ALL",
-        "contact_text": _segments_cte()
-        + "\nSELECT n.doc_id, coalesce(string_agg(g.text, chr(10) ORDER BY line_number) FILTER (section_type = 'contact'), '') AS contact"
-        + " FROM n LEFT JOIN g USING (doc_id) GROUP BY n.doc_id",
-        "masked_documents": _base()
-        + f"\nSELECT doc_id, regexp_replace(text, {mask}, '****', 'g') AS masked, len(regexp_extract_all(text, {mask}))::BIGINT AS n_entities FROM n",
-        "entity_stats": _base() + f"\nSELECT entity, n FROM ({counts}) WHERE n > 0",
-    }
+    return oracle.all_queries()
