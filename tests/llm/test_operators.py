@@ -7,7 +7,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from maskwell.llm import chat, decontaminate, html_text, jpeg, language_id, mixing, quality, sharding, warc
+from maskwell.llm import chat, decontaminate, html_text, jpeg, language_id, mixing, quality, queries, sharding, warc
 from maskwell.llm.queries import _OP6_SQL
 
 DOCS = "doc_id long, text string, lang string, source string, size string"
@@ -131,6 +131,55 @@ def test_language_id_against_plain_counts(spark):
     assert len(set(total.values())) == 1
 
 
+def test_language_id_against_a_plain_naive_bayes(spark):
+    """Counts, log-probabilities, predictions and posteriors, gram by gram in plain Python."""
+    rng = random.Random(5)
+    multipliers = [0x9E3779B1, 0x85EBCA77]
+    multipliers.append(0xC2B2AE3D)
+
+    def bucket(gram):
+        h = (sum(ord(c) * m for c, m in zip(gram, multipliers, strict=False)) + len(gram)) % 2**32
+        h ^= h >> 15
+        return h * 0x2C1B3C6D % 2**32 >> 16
+
+    grams = lambda t: [bucket(x[i : i + n]) for x in [f" {t.lower()} "] for n in (2, 3) for i in range(len(x) - n + 1)]
+    make = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    rows = [(i, make(letters, rng.randrange(1, 60)), lang) for i, (lang, letters) in enumerate([("aa", "abcdeé "), ("bb", "cdefg日 ")] * 15)]
+    model = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    counts = {lang: [0.5] * (1 << 16) for lang in ("aa", "bb")}
+    for _, t, lang in rows:
+        for b in grams(t):
+            counts[lang][b] += 1
+    logs = {lang: np.log(np.array(c) / sum(c)) for lang, c in counts.items()}
+    for i, lang in enumerate(model.languages):
+        assert np.allclose(model.log_probs[i], logs[lang], atol=1e-5)
+    texts = [make("abcdefgé日 ", rng.randrange(1, 30)) + "a" for _ in range(60)]
+    langs, score = language_id.score_texts(texts, model)
+    for t, lang, p in zip(texts, langs, score, strict=True):
+        total = {x: sum(logs[x][b] for b in grams(t)) for x in logs}
+        best = max(sorted(total), key=lambda x: total[x])
+        assert lang == best and p == pytest.approx(1 / sum(np.exp(total[x] - total[best]) for x in total), abs=1e-3)
+
+
+def test_language_id_with_very_many_labels_and_long_texts(spark):
+    rows = [(i, "abc " * 50, f"l{i % 300}") for i in range(600)] + [(1000 + i, "xyz " * 40, "zz") for i in range(9)]
+    model = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(model.languages) == language_id.MOST_LANGUAGES and "zz" in model.languages
+    df = spark.createDataFrame([(1, "xyz " * 400_000, "a"), (2, "", "b")], "doc_id long, text string, lang_pred string")
+    assert [r.lang_pred for r in language_id.identify(df, model).orderBy("doc_id").collect()] == ["zz", "und"]
+
+
+def test_held_out_accuracy_on_the_tables(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf}/{n}.parquet") for n in ("documents", "labels"))
+    found = queries.op5_language(spark, sf).join(docs.select("doc_id", "lang"), "doc_id").where("held_out AND lang IS NOT NULL AND lang_pred <> 'und'").collect()
+    assert len(found) > 200 and np.mean([r.lang_pred == r.lang for r in found]) >= 0.98
+    scored = queries.op2_quality(spark, sf).join(labels, "doc_id").where("held_out").collect()
+    good, bad = ([r.score for r in scored if r.quality == q] for q in (1, 0))
+    assert len(good) > 40 and len(bad) > 5
+    assert np.mean([g > b for g in good for b in bad]) >= 0.97 and np.mean([r.predicted == r.quality for r in scored]) >= 0.95
+
+
 def test_language_id_pieces_see_each_gram_once(monkeypatch):
     rng = random.Random(9)
     text = "".join(rng.choice("abc def") for _ in range(5000))
@@ -456,8 +505,9 @@ def test_quality_edges(spark, monkeypatch):
         assert len(quality.score(df, quality.train(few)).collect()) == len(odd)
     import pyarrow as pa
 
-    text = pa.array(["\n".join(f"line {i} of the text" for i in range(3000)), "b"])
+    text = pa.array(["\n".join(f"line {i} of the text" for i in range(3000)), "b", "one one long LINE! without ends " * 900, "x" * 12_000 + "\n" + "y y " * 4000])
     whole = quality.line_features(text)
+    assert np.bincount(whole[2]).tolist() == [3000, 1, 1, 2]
     monkeypatch.setattr(quality, "PIECE", 5000)
     monkeypatch.setattr(quality, "row_slices", lambda o: ((i, i + 1) for i in range(len(o) - 1)))
     assert all(np.allclose(a, b) for a, b in zip(whole, quality.line_features(text), strict=True))
