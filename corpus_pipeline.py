@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from maskwell.llm import decontaminate, language_id, mixing, near_dedup, sharding
-from maskwell.llm._shared import crc_mod, materialize, table
+from maskwell.llm._shared import crc_mod, drop_path, materialize, table
 
 #: The stages' parameters.
 LEAST_POSTERIOR = 0.5
@@ -51,7 +51,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs, _ = materialize(stage(spark, docs, sf_dir), f"stage_{name}")
+        docs, path = materialize(stage(spark, docs, sf_dir), f"stage_{name}")
+        if before:
+            # the stage is written, so what it read isn't needed any more
+            drop_path(spark, before)
+        before = path
     return docs
