@@ -40,7 +40,10 @@ MISS = 1e-7
 #: Documents and shingles of a block that is held in memory, and documents it is checked against in one task.
 BLOCK, BLOCK_SHINGLES, CHUNK = 512, 4_000_000, 8192
 PIVOTS = 64
-#: The same for signatures.
+#: A document in more links than HUB, and in more than one of HUBS parts of all links, is a
+#: hub: there are at most HUBS of them, so their list may be broadcast.
+HUB, HUBS = 1024, 2000
+#: Documents of a block of signatures, and those it is compared with in one task.
 SIG_BLOCK, SIG_CHUNK = 1024, 65_536
 
 
@@ -295,7 +298,14 @@ def candidate_links(sketches: DataFrame, least: int) -> DataFrame:
     sigs = sketches.where("size(keys) > 0").groupBy("doc_id").agg(F.min("sig").alias("sig"))
     pairs = members.where("u <> v").select("u", "v").distinct()
     pairs = pairs.join(sigs.select(F.col("doc_id").alias("u"), F.col("sig").alias("sig_u")), "u")
-    pairs = pairs.join(sigs.select(F.col("doc_id").alias("v"), F.col("sig").alias("sig_v")), "v")
+    # a large group's smallest member is in very many pairs: its pairs and its signature are salted
+    many = max(HUB, members.count() // HUBS)
+    hubs = members.groupBy("v").agg(F.count("*").alias("n")).where(F.col("n") > many).select("v", F.ceil(F.col("n") / many).cast("int").alias("salts"))
+    hubs = F.broadcast(hubs)
+    pairs = pairs.join(hubs, "v", "left").withColumn("salt", F.pmod(F.xxhash64("u"), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
+    of_v = sigs.select(F.col("doc_id").alias("v"), F.col("sig").alias("sig_v")).join(hubs, "v", "left")
+    of_v = of_v.select("v", "sig_v", F.explode_outer(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("salt"))
+    pairs = pairs.join(of_v, ["v", "salt"])
     judged, judged_at = materialize(_agreement(pairs.select("u", "v", "sig_u", "sig_v"), least), "judged")
 
     # buckets of two are settled; in the others far members meet all members

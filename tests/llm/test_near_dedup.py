@@ -144,7 +144,7 @@ def test_more_bands_for_lower_thresholds():
 
 
 def test_large_groups_go_through_blocks_and_pivots(spark, monkeypatch):
-    for name, value in (("BLOCK", 8), ("BLOCK_SHINGLES", 900), ("CHUNK", 16), ("PIVOTS", 3), ("SIG_BLOCK", 3), ("SIG_CHUNK", 8)):
+    for name, value in (("BLOCK", 8), ("HUB", 3), ("BLOCK_SHINGLES", 900), ("CHUNK", 16), ("PIVOTS", 3), ("SIG_BLOCK", 3), ("SIG_CHUNK", 8)):
         monkeypatch.setattr(near_dedup, name, value)
     rows = list(enumerate(corpus(17, 160)))
     df = spark.createDataFrame(rows, "doc_id long, text string")
