@@ -41,7 +41,9 @@ def detection_report(found: DataFrame, at: Column | None = None, spans: str = "s
     lines = F.transform(spans, lambda s: F.format_string(LINE, s["entity"], s["text"], s["score"], s["start"], s["end"]))
     head = F.array(F.lit(""), F.lit(RULE), F.concat(F.lit("Masking Log - "), stamp), F.lit(RULE))
     total = F.array(F.concat(F.lit("Total: "), F.size(spans).cast("string"), F.lit(" entities masked")))
-    return found.where(F.size(spans) > 0).withColumn(out, F.array_join(F.concat(head, lines, total), "\n"))
+    # as a generator's output: a filter on the spans would go below and evaluate them a second time
+    report = F.when(F.size(spans) > 0, F.array(F.array_join(F.concat(head, lines, total), "\n")))
+    return found.withColumn(out, F.explode_outer(report)).where(F.col(out).isNotNull())
 
 
 def parse_report(log: Column) -> Column:
