@@ -29,9 +29,11 @@ def values(rows: list[tuple], names: str) -> str:
     return f"(SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(cell, r)) + ')' for r in rows)}) v({names}))"
 
 
-def corpus() -> str:
+def corpus(source: str | None = None) -> str:
+    """CTEs ``c``(doc_id, text), the documents and fixtures or another source, and ``n``, normalised."""
+    c = source or f"c AS (SELECT doc_id, text FROM documents UNION ALL SELECT * FROM {values([*fixtures.FIXTURE, (-5, None)], 'doc_id, text')})"
     return f"""
-WITH RECURSIVE c AS (SELECT doc_id, text FROM documents UNION ALL SELECT * FROM {values([*fixtures.FIXTURE, (-5, None)], 'doc_id, text')}),
+WITH RECURSIVE {c},
 n AS (SELECT doc_id, text AS raw, regexp_replace(regexp_replace(regexp_replace(replace(coalesce(text, ''), '　', ' '),
         '[ \\t]{{2,}}', ' ', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), '^{EDGE}|{EDGE}$', '', 'g') AS text FROM c)"""
 
@@ -54,11 +56,11 @@ HEADINGS = [
 ]
 
 
-def segments() -> str:
+def segments(source: str | None = None) -> str:
     cases = " ".join(
         f"WHEN {' OR '.join([f'contains(body, {quote(w)})' for w in ja] + [f'contains(lower(body), {quote(w)})' for w in en])} THEN '{kind}'" for kind, ja, en in HEADINGS
     )
-    return f"""{corpus()},
+    return f"""{corpus(source)},
 x AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM n),
 o AS (SELECT *, regexp_replace(regexp_replace(line, '^{EDGE}', ''), '{EDGE}$', '') AS body,
         length(line) - length(regexp_replace(line, '^{EDGE}', '')) AS lead,
@@ -184,8 +186,8 @@ PRIORITY = (
 STRUCT = "STRUCT(r BIGINT, s BIGINT, e BIGINT, p BIGINT, sc DOUBLE)"
 
 
-def verified() -> str:
-    """CTEs up to ``verdict``: line candidates, merged, verified, collisions resolved."""
+def verified(more: str = "") -> str:
+    """CTEs up to ``verdict``: line candidates and ``more`` of them, merged, verified, collisions resolved."""
     digits = "translate({x}, '０１２３４５６７８９', '0123456789')"
     rank = f"coalesce(list_position({PRIORITY!r}, entity) - 1, {len(PRIORITY)})"
     first = "coalesce(list_position(list_transform({k}, lambda k: k.s < x.stop AND x.start < k.e), true), 0)"
@@ -212,7 +214,7 @@ address AS (SELECT doc_id, line_number, section_type, place, name, start AS base
       FROM (SELECT * FROM g WHERE regexp_matches(text, '[県府都道]')) g, prefecture WHERE contains(text, name)),
 raw_candidate AS (SELECT doc_id, line_number, section_type, ord, i::BIGINT AS i, source, entity, score, t, start::BIGINT AS start, stop::BIGINT AS stop FROM ruled
   UNION ALL SELECT doc_id, line_number, section_type, 20, place, 'rule:jp_address_prefix', 'JP_ADDRESS', 0.75::DOUBLE, t, base + spot - 1, base + spot - 1 + length(t)
-            FROM address WHERE length(t) > length(name) + 2),
+            FROM address WHERE length(t) > length(name) + 2 {more}),
 candidate AS (SELECT *, ({rank})::BIGINT AS p, row_number() OVER (PARTITION BY doc_id ORDER BY start, {rank}, score DESC, line_number, ord, i) AS r FROM raw_candidate),
 merging(doc_id, r, kept) AS (
   SELECT DISTINCT doc_id, 0::BIGINT, []::{STRUCT}[] FROM candidate
@@ -395,6 +397,15 @@ w AS (SELECT *, substr(text, greatest(start - 50, 0) + 1, stop + 50 - greatest(s
 SELECT doc_id::BIGINT AS doc_id, CASE label WHEN 'PERSON' THEN 'JP_PERSON' ELSE 'JP_ADDRESS' END AS entity, start::BIGINT AS start, stop::BIGINT AS "end", word AS text,
   CASE WHEN regexp_matches(near, CASE label WHEN 'PERSON' THEN '氏名|ふりがな|フリガナ|名前|お名前|姓名' ELSE '住所|現住所|連絡先|都道府県|市区町村|番地|所在地' END) THEN 0.9::DOUBLE ELSE 0.6::DOUBLE END AS score
 FROM w WHERE label IN ('PERSON', 'LOC')""",
+        "ner_candidates": verified(
+            f"""UNION ALL SELECT e.doc_id, 1000000, coalesce(g.section_type, 'unknown'), 30, row_number() OVER (PARTITION BY e.doc_id ORDER BY label, word), 'ner:pipeline',
+  CASE label WHEN 'PERSON' THEN 'JP_PERSON' WHEN 'ORG' THEN 'JP_ORGANIZATION' ELSE 'JP_ADDRESS' END, 0.7::DOUBLE, word, e.start::BIGINT, e.stop::BIGINT
+  FROM (SELECT v.doc_id, label, word, instr(n.text, word) - 1 AS start, instr(n.text, word) - 1 + length(word) AS stop FROM {values(fixtures.PIPELINE_ENTITIES, 'doc_id, label, word')} v JOIN n USING (doc_id)) e
+  LEFT JOIN g ON g.doc_id = e.doc_id AND g.start <= e.start AND e.start < g."end" """
+        )
+        + """
+SELECT doc_id, entity, start, stop AS "end", t AS text, score, section_type FROM merged JOIN candidate USING (doc_id, r) WHERE source = 'ner:pipeline'""",
+        "resume_sections": segments(f"{_resume_text()}, c AS (SELECT id AS doc_id, text FROM resume)") + "\nSELECT doc_id AS id, section_type, count(*) AS lines FROM g GROUP BY ALL",
         "decoded_labels": "SELECT id::BIGINT AS id, entity, start::BIGINT AS start, \"end\"::BIGINT AS \"end\", text, score FROM (VALUES (1, 'PERSON', 0, 7, 'Ann Lee', 0.625::DOUBLE), (1, 'LOCATION', 11, 16, 'Paris', 0.5), (2, 'JP_PERSON', 0, 4, '山田太郎', 0.75), "
         "(2, 'JP_ADDRESS', 5, 8, '東京都', 0.25), (3, 'PERSON', 0, 1, 'B', 0.5), (3, 'PERSON', 2, 3, 'B', 0.75)) v(id, entity, start, \"end\", text, score)",
         "decoded_words": "SELECT id::BIGINT AS id, entity, start::BIGINT AS start, \"end\"::BIGINT AS \"end\", text, score FROM (VALUES (1, 'PERSON', 0, 7, 'Ann Lee', 0.75::DOUBLE), (1, 'PERSON', 0, 3, 'Ann', 0.5), (1, 'LOCATION', 23, 28, 'Paris', 0.5), (2, 'JP_PERSON', 0, 4, '山田太郎', 0.5)) "
